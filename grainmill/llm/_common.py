@@ -5,7 +5,9 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +65,22 @@ def by_key(df: DataFrame, keys: DataFrame, name: str, how: str) -> DataFrame:
     if own.count() <= BROADCAST_KEYS:
         own = F.broadcast(own)
     return df.join(own, F.col(f"`{name}`") == F.col("__grainmill_key"), how)
+
+
+def broadcast_ids(df: DataFrame, ids: list[int]) -> DataFrame:
+    """The rows of df whose doc_id is in ids, a list that a parameter bounds."""
+    own = df.sparkSession.createDataFrame([(i,) for i in ids], "__grainmill_key bigint")
+    return df.join(F.broadcast(own), F.col("doc_id") == F.col("__grainmill_key"), "left_semi")
+
+
+def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows of df, all columns, for which the function that make() gives says
+    true of the column's value; make() runs once a task, on its executor."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
