@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes.
 
 Every vector is a query and the result is its K nearest others by Euclidean
-distance. Vectors are assigned to the nearest of about sqrt(n) centroids
-(Lloyd steps over all vectors). A vector's residual from its centroid is
+distance. Vectors are assigned to the nearest of the centroids (one for TARGET
+vectors, Lloyd steps over all vectors). A vector's residual from its centroid is
 rotated by a fixed random orthogonal matrix and kept as its signs, packed to
 bits, with two scalars: its norm and the inner product of the unit residual o
 with its own code x. For a query's unit residual q,
@@ -14,11 +14,15 @@ but for a small probability (Gao and Long, "RaBitQ", 2024). <x, q> itself comes
 from the packed bits: the rotated query is quantised to QUERY_BITS bits with
 random rounding, and each bit plane costs an AND and a population count.
 
-A query visits its nearest clusters until the PROBE share of them is done.
 Within a cluster the vectors whose lower bound of distance doesn't exceed the
-K-th least upper bound are reranked by true distance; the K best of every
-cluster meet in one last aggregation. A cluster larger than BLOCK is split into
-blocks that are searched separately, so nothing is capped.
+K-th least upper bound are reranked by true distance. A query first searches its
+own cluster, which bounds its K-th distance; then it visits each other cluster
+where a member may be nearer: at distance d from the centroid, a residual of
+norm r lies at d^2 + r^2 - 2 d r <o, q>, and <o, q> exceeds REACH / sqrt(D) with
+a small probability. Vectors without structure make it visit most clusters,
+which keeps the recall; clustered ones few. The best of all visits meet in one
+last aggregation. A cluster larger than BLOCK is split into blocks that are
+searched separately, so nothing is capped.
 
 Results for special cases:
 * null vectors, vectors with a null, NaN or infinite entry and vectors of
@@ -40,8 +44,8 @@ from pyspark.sql import functions as F
 
 from grainmill.llm._common import keep_heap, materialise
 
-K, PROBE, STEPS, BLOCK = 10, 0.25, 4, 20_000
-ERROR, QUERY_BITS, SEED = 1.9, 6, 20240527
+K, STEPS, TARGET, BLOCK = 10, 4, 4096, 16_384
+ERROR, REACH, QUERY_BITS, SEED = 1.9, 3.0, 5, 20240527
 
 
 def rotation(d: int, seed: int = SEED) -> np.ndarray:
@@ -75,32 +79,46 @@ class Codes:
         levels = (1 << QUERY_BITS) - 1
         dither = np.random.default_rng(SEED).random(q.shape[1])
         u = np.minimum(np.floor((q - low) / width * levels + dither), levels).astype(np.uint8)
-        total = np.zeros((len(q), len(self.bits)), np.int32)
+        total = np.zeros((len(q), len(self.bits)), np.uint16 if self.d * levels < 1 << 16 else np.uint32)
         for j in range(QUERY_BITS):
             plane = pack((u >> j) & 1)
             for w in range(self.bits.shape[1]):
-                total += np.bitwise_count(plane[:, None, w] & self.bits[None, :, w]).astype(np.int32) << j
-        step = width / levels
-        plus = step * total + low * self.ones  # sum of q over the set bits
-        return (2 * plus - (step * u.sum(axis=1, keepdims=True) + self.d * low)) / np.sqrt(self.d) / self.own
+                total += np.bitwise_count(plane[:, w, None] & self.bits[None, :, w]) * total.dtype.type(1 << j)
+        step = (width / levels).astype(np.float32)
+        # 2 * (sum of q over the set bits) - sum of q, over sqrt(D) and <x, o>
+        out = total * (2 * step)
+        out += low.astype(np.float32) * (2 * self.ones).astype(np.float32)
+        out -= (step * u.sum(axis=1, keepdims=True) + self.d * low).astype(np.float32)
+        out *= (1 / (np.sqrt(self.d) * self.own)).astype(np.float32)
+        return out
 
 
 def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, centre: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query, neighbour, squared distance): the k nearest of a block's vectors x for each query."""
+    order = np.argsort(ids)
+    ids, x = ids[order], x[order]
     turn = rotation(x.shape[1])
     codes = Codes(x - centre, turn)
-    for i in range(0, len(q), 512):
-        own, part = query_ids[i : i + 512], q[i : i + 512]
+    own_norm, error = codes.norm.astype(np.float32), codes.error.astype(np.float32)
+    for i in range(0, len(q), 128):
+        own, part = query_ids[i : i + 128], q[i : i + 128]
         r = part - centre
         norm = np.linalg.norm(r, axis=1, keepdims=True)
-        inner = codes.inner(r @ turn / np.maximum(norm, 1e-12))
-        base = codes.norm**2 + norm**2
-        scale = 2 * codes.norm * norm
-        middle, half = base - scale * inner, scale * codes.error
-        itself = ids[None, :] == own[:, None]
-        upper = np.where(itself, np.inf, middle + half)
-        kth = np.partition(upper, min(k, upper.shape[1]) - 1, axis=1)[:, min(k, upper.shape[1]) - 1]
-        a, b = np.nonzero((middle - half <= kth[:, None]) & ~itself)
+        middle = codes.inner(r @ turn / np.maximum(norm, 1e-12))
+        scale = 2 * own_norm * norm.astype(np.float32)
+        middle *= -scale
+        middle += own_norm**2
+        middle += (norm**2).astype(np.float32)
+        scale *= error
+        upper = middle + scale
+        middle -= scale
+        at = np.searchsorted(ids, own)
+        at[at == len(ids)] = 0
+        itself = np.flatnonzero(ids[at] == own)
+        upper[itself, at[itself]] = middle[itself, at[itself]] = np.inf
+        near = min(k, upper.shape[1]) - 1
+        kth = np.partition(upper, near, axis=1)[:, near]
+        a, b = np.nonzero((middle <= kth[:, None]) & (middle < np.inf))
         far = np.square(x[b] - part[a]).sum(axis=1)
         order = np.lexsort((ids[b], far, a))
         a, b, far = a[order], b[order], far[order]
@@ -114,21 +132,35 @@ def _vectors(table: pa.Table, name: str) -> np.ndarray:
     return v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
 
 
-def _assign(centres: np.ndarray, probes: int):
-    """For each vector its `probes` nearest centroids, nearest first."""
+def _assign(centres: np.ndarray):
+    """Each vector's nearest centroid and its distance from that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_heap()
         square = (centres**2).sum(axis=1)
+        for b in batches:
+            x = _vectors(pa.Table.from_batches([b]), "v")
+            own = np.concatenate([np.argmin(square - 2 * (x[i : i + 1024] @ centres.T), axis=1) for i in range(0, len(x), 1024)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.linalg.norm(x - centres[own], axis=1)), b.column(0), b.column(1)], names=["c", "r", "vec_id", "v"])
+
+    return run
+
+
+def _visits(centres: np.ndarray, least: np.ndarray, most: np.ndarray):
+    """The other clusters in which a query (vec_id, v, c, kth) may find something nearer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        square, reach = (centres**2).sum(axis=1), REACH / np.sqrt(centres.shape[1])
         for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                b = batch.slice(i, 4096)
-                x = _vectors(pa.Table.from_batches([b]), "v")
-                far = square - 2 * (x @ centres.T)
-                near = np.argpartition(far, probes - 1, axis=1)[:, :probes] if probes < len(centres) else np.tile(np.arange(len(centres)), (len(x), 1))
-                near = np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, axis=1), axis=1, kind="stable"), axis=1).astype(np.int32)
-                offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * probes)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(offsets, pa.array(near.ravel()))], names=["vec_id", "v", "near"])
+            for i in range(0, batch.num_rows, 1024):
+                b = batch.slice(i, 1024)
+                x, own, kth = _vectors(pa.Table.from_batches([b]), "v"), b.column(2).to_numpy(), b.column(3).to_numpy(zero_copy_only=False)
+                d = np.sqrt(np.maximum(0, square - 2 * (x @ centres.T) + (x**2).sum(axis=1, keepdims=True)))
+                r = np.clip(d * reach, least, most)
+                go = d * d + r * r - 2 * d * r * reach <= np.where(np.isnan(kth), np.inf, kth)[:, None] ** 2
+                go[np.arange(len(x)), own] = False
+                go[:, most < 0] = False
+                offsets = pa.array(np.concatenate(([0], np.cumsum(go.sum(axis=1)))).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(offsets, pa.array(np.nonzero(go)[1].astype(np.int32)))], names=["vec_id", "v", "visits"])
 
     return run
 
@@ -181,23 +213,37 @@ def _searcher(centres: np.ndarray, k: int):
     return run
 
 
-def neighbours(embeddings: DataFrame, k: int = K, probe: float = PROBE) -> DataFrame:
+def neighbours(embeddings: DataFrame, k: int = K) -> DataFrame:
     """(vec_id, rank, neighbour_id, distance): the k nearest others of each vector."""
-    v = F.col("embedding").cast("array<double>")
+    v = F.col("embedding").cast("array<float>")
     sound = v.isNotNull() & F.col("vec_id").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     own = embeddings.where(sound & (F.size("embedding") > 0)).groupBy(F.col("vec_id").cast("bigint").alias("vec_id")).agg(F.min(v).alias("v"))
+    own = materialise(own, "vectors")
     dims = {r.d: r.n for r in own.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
     out = "vec_id bigint, neighbour_id bigint, distance double"
     if not dims:
         return embeddings.sparkSession.createDataFrame([], "vec_id bigint, rank int, neighbour_id bigint, distance double")
     d = max(dims, key=lambda x: (dims[x], x))
-    own = materialise(own.where(F.size("v") == d), "vectors")
-    centres = centroids(own, max(1, round(dims[d] ** 0.5)))
-    probes = max(1, min(len(centres), -(-int(probe * 1000) * len(centres) // 1000)))
-    near = materialise(own.mapInArrow(_assign(centres, probes), "vec_id bigint, v array<double>, near array<int>"), "assigned")
-    sizes = near.groupBy(F.col("near")[0].alias("c")).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    base = near.select("vec_id", "v", F.col("near")[0].alias("c")).toDF("vec_id", "v", "c").join(sizes, "c").select("c", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), "vec_id", "v")
-    asks = near.select("vec_id", "v", F.explode("near").alias("c")).join(sizes, "c").select("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("vec_id").alias("q_id"), F.col("v").alias("q_v")).toDF("c", "block", "vec_id", "v")
-    found = base.groupBy("c", "block").cogroup(asks.groupBy("c", "block")).applyInArrow(_searcher(centres, k), out)
+    own = own.where(F.size("v") == d)
+    centres = centroids(own, -(-dims[d] // TARGET))
+    base = own.mapInArrow(_assign(centres), "c int, r double, vec_id bigint, v array<float>")
+    base = materialise(base.withColumn("block", F.lit(0)), "assigned")
+    stats = base.groupBy("c").agg(F.min("r").alias("least"), F.max("r").alias("most"), F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).collect()
+    least, most, blocks = np.zeros(len(centres)), np.full(len(centres), -1.0), np.ones(len(centres), int)
+    for s in stats:
+        least[s.c], most[s.c], blocks[s.c] = s.least, s.most, s.blocks
+    many = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("c") + 1) if (blocks > 1).any() else F.lit(1)
+    base = base.select("c", F.pmod(F.xxhash64("vec_id"), many).cast("int").alias("block"), "vec_id", "v")
+
+    def search(asks: DataFrame) -> DataFrame:
+        asks = asks.select("c", F.explode(F.sequence(F.lit(0), many - 1)).alias("block"), F.col("vec_id").alias("q"), F.col("v").alias("w")).toDF("c", "block", "vec_id", "v")
+        return base.groupBy("c", "block").cogroup(asks.groupBy("c", "block")).applyInArrow(_searcher(centres, k), out)
+
+    near = materialise(search(base.select("c", "vec_id", "v").toDF("c", "vec_id", "v")), "near")
+    if len(centres) > 1:
+        kth = near.groupBy("vec_id").agg(F.sort_array(F.collect_list("distance")).alias("d")).select("vec_id", F.when(F.size("d") >= k, F.get("d", F.lit(k - 1))).alias("kth"))
+        asks = base.select("vec_id", "v", "c").join(kth, "vec_id", "left").select("vec_id", "v", "c", "kth")
+        asks = asks.mapInArrow(_visits(centres, least, most), "vec_id bigint, v array<float>, visits array<int>")
+        near = near.union(search(asks.select(F.explode("visits").alias("c"), "vec_id", "v")))
     by = Window.partitionBy("vec_id").orderBy("distance", "neighbour_id")
-    return found.select("vec_id", F.row_number().over(by).alias("rank"), "neighbour_id", "distance").where(F.col("rank") <= k)
+    return near.select("vec_id", F.row_number().over(by).alias("rank"), "neighbour_id", "distance").where(F.col("rank") <= k)
