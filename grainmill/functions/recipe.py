@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from grainmill.functions.text import let
+
 EMAIL = r"[A-Za-z0-9.\-+_]+@[A-Za-z0-9.\-+_]+\.[A-Za-z]+"
 LINK = r"(?i)\b(?:https?|ftp)://[^\s<>\"']+|\bwww\.[^\s<>\"']+"
 _PUNCTUATION = {
@@ -91,25 +93,25 @@ def word_count(t: Column) -> Column:
 
 
 def flagged_share(t: Column, flagged: Sequence[str]) -> Column:
-    own = words(t)
-    bad = F.array(*[F.lit(w) for w in flagged]) if flagged else F.array().cast("array<string>")
-    return _share(F.size(F.filter(own, lambda w: F.array_contains(bad, w))), F.size(own))
+    hits = lambda own: F.size(F.filter(own, lambda w: w.isin(*flagged))) if flagged else F.lit(0)
+    return let(words(t), lambda own: _share(hits(own), F.size(own)))
 
 
 def _repeated(grams: Column) -> Column:
     """The share of entries whose value occurs more than once: entries are sorted,
     and counted where a neighbour is equal."""
-    s = F.array_sort(grams)
-    same = F.filter(s, lambda g, i: (F.get(s, i - 1) == g) | (F.get(s, i + 1) == g))
-    return _share(F.size(same), F.size(grams))
+    same = lambda s: F.filter(s, lambda g, i: (F.get(s, i - 1) == g) | (F.get(s, i + 1) == g))
+    return let(F.array_sort(grams), lambda s: _share(F.size(same(s)), F.size(s)))
 
 
 def word_repetition(t: Column, n: int = 10) -> Column:
-    """The share of word n-grams that occur more than once."""
-    own = words(t)
-    last = F.size(own) - n + 1
-    grams = F.transform(F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(own, i, n), " "))
-    return _repeated(grams)
+    """The share of word n-grams (by their 64-bit hashes) that occur more than once."""
+
+    def grams(own: Column) -> Column:
+        last = F.size(own) - n + 1
+        return F.transform(F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(F.slice(own, i, n)))
+
+    return let(words(t), lambda own: _repeated(grams(own)))
 
 
 def character_repetition(t: Column, n: int = 10) -> Column:

@@ -17,6 +17,12 @@ FORMULA_PATTERNS = (
 IMAGE_PATTERN = r"!\[[^\]]*\] ?(?:\([^)]*\)|\[[^\]]*\])"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once. Higher-order functions would compute
+    what their lambda refers to anew for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _lit(s: str) -> Column:
     return F.lit(s.replace("\\", "\\\\").replace("$", "\\$"))
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainmill.functions.text import contains_query, inline_think, think_headings
+from grainmill.functions.text import contains_query, inline_think, let, think_headings
 
 MESSAGE = "struct<role: string, content: string, think: string, answer: string>"
 
@@ -72,10 +72,13 @@ def pair_turns(messages: Column, strict: bool = False) -> Column:
         ok = F.filter(pairs, lambda p: (p.u.role == "user") & (p.a.role == "assistant"))
         return F.transform(ok, lambda p: F.struct(p.u.content.alias("question"), p.a.content.alias("answer")))
     side = lambda r: F.transform(F.filter(messages, lambda m: m.role == r), lambda m: m.content)
-    user, assistant = side("user"), side("assistant")
-    n = F.least(F.size(user), F.size(assistant))
-    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(F.get(user, i).alias("question"), F.get(assistant, i).alias("answer")))
+    none = F.array().cast("array<int>")
+
+    def zipped(s: Column) -> Column:
+        n = F.least(F.size(s.u), F.size(s.a))
+        return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(none), lambda i: F.struct(F.get(s.u, i).alias("question"), F.get(s.a, i).alias("answer")))
+
+    return let(F.struct(side("user").alias("u"), side("assistant").alias("a")), zipped)
 
 
 def as_text(messages: Column) -> Column:

@@ -7,11 +7,16 @@ of copies cost nothing; a component's least id stays."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainmill.functions.text import let
+
 BLOCKS = (11, 11, 11, 11, 10, 10)
 
 
@@ -19,19 +24,32 @@ def shingles(text: Column, window: int = 6) -> Column:
     """Hashes of runs of `window` words, lower case, without punctuation; a text
     of fewer words is one run."""
     words = F.filter(F.split(F.lower(F.regexp_replace(text, r"\p{P}", "")), r"\s+"), lambda w: w != "")
-    n = F.greatest(F.size(words) - window, F.lit(0))
-    return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, window), " "))))
+
+    def runs(own: Column) -> Column:
+        last = F.greatest(F.size(own) - window, F.lit(0)) + 1
+        return F.when(F.size(own) > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(own, i, window))))
+
+    return let(words, runs)
+
+
+def _sum_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for h in batch.column(1):
+            v, n = h.values.to_numpy(zero_copy_only=False).view(np.uint8).reshape(-1, 8), np.zeros(64, np.int64)
+            for i in range(0, len(v), 65536):
+                n += np.unpackbits(v[i : i + 65536], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            out.append(int(np.packbits(2 * n > len(v), bitorder="little").view(np.int64)[0]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["id", "h"])
 
 
-def simhash(text: Column, window: int = 6) -> Column:
-    """The 64-bit SimHash: bit b is set where most shingles have it. Null for a text without words."""
-    s = shingles(text, window)
-    # 64 counters as one array, added up in one pass over the shingles
-    start = F.array_repeat(F.lit(0), 64)
-    bits = F.sequence(F.lit(0), F.lit(63))
-    add = lambda acc, h: F.transform(bits, lambda b: F.get(acc, b) + F.when(F.getbit(h, b) == 1, 1).otherwise(-1))
-    total = F.aggregate(s, start, add)
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(F.when(F.get(total, b) > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint"))))
+def hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 6) -> DataFrame:
+    """(id, h): the 64-bit SimHash, whose bit b is set where most shingles have it.
+    Texts without words and null ids are left out. Words are hashed by built-in
+    expressions; bits are added up in Arrow batches, as array work."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), shingles(F.col(text_col), window).alias("s")).where("size(s) > 0")
+    return own.mapInArrow(_sum_bits, f"id {kind}, h bigint")
 
 
 def _keys(h: Column) -> Column:
@@ -45,8 +63,7 @@ def _keys(h: Column) -> Column:
 def pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 6, most: int = 4) -> DataFrame:
     """(a, b) with a < b: ids whose hashes differ in at most `most` bits; of ids with
     equal hashes only the pairs with the least of them."""
-    hashed = docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col), window).alias("h")).where("h is not null and id is not null")
-    least = hashed.withColumn("rep", F.min("id").over(Window.partitionBy("h")))
+    least = hashes(docs, id_col, text_col, window).withColumn("rep", F.min("id").over(Window.partitionBy("h")))
     same = least.where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     keyed = least.where("id = rep").select("id", "h", F.explode(_keys(F.col("h"))).alias("key"))
     x, y = keyed.toDF("a", "ha", "key"), keyed.toDF("b", "hb", "key")
