@@ -81,7 +81,7 @@ def parquet(spark: SparkSession, path: str) -> DataFrame:
 
 def markdown(spark: SparkSession, folder: str) -> DataFrame:
     """(text, file_path): whole .md files of a folder, not of its sub-folders."""
-    df = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.md").text(folder)
+    df = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     return df.select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file_path"))
 
 
