@@ -43,3 +43,8 @@ def synthesise(chunks: DataFrame, factory: model_calls.Factory, prompts: dict, d
     """Chunks to dialogues, without those that have a result already."""
     todo = chunks if done is None else conversations.resume(chunks, done)
     return model_calls.dialogues(todo, factory, prompts).where("task = 'dialogue'")
+
+
+def parquet_to_json(spark: SparkSession, path: str, out: str) -> None:
+    """Every parquet file under path as JSON lines, in a folder of its name."""
+    sinks.write_mirrored(readers.parquet(spark, path), out)

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from grainmill.functions import recipe as R
 from grainmill.functions import text as T
 from grainmill.functions.bins import LABELS, subclass_key, token_bin
-from grainmill.functions.markdown import heading_chunks, tables_to_markdown
-from grainmill.operators import cleaning, conversations, mixing, packing, simhash
+from grainmill.functions.markdown import heading_chunks, tables_to_markdown, trimmed_paper
+from grainmill.operators import cleaning, conversations, mixing, model_calls, packing, simhash
 from grainmill.operators import distributions as D
 from grainmill.operators.recipe import FILTERS, condition
 from grainmill.sources import readers
@@ -435,6 +435,64 @@ def with_user_turn(spark, d):
     return conversations.without_user_turn(_gathered(spark, d)).select("conv_id")
 
 
+@query("SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INTEGER) AS pos, role, text AS content FROM conversations")
+def sharegpt_convert(spark, d):
+    null = F.lit(None).cast("string")
+    m = F.transform("messages", lambda x: F.struct(x.role.alias("role"), x.content.alias("content"), null.alias("think"), null.alias("answer")))
+    own = conversations.to_sharegpt(_gathered(spark, d).withColumn("messages", m))
+    return own.select("conv_id", F.posexplode("messages").alias("pos", "m")).select("conv_id", "pos", "m.role", "m.content")
+
+
+@query(
+    "WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM conversations), "
+    "p AS (SELECT a.conv_id, row_number() OVER (PARTITION BY a.conv_id ORDER BY a.i) AS k, a.text AS q, b.text AS r FROM n a JOIN n b ON a.conv_id = b.conv_id AND b.i = a.i + 1 WHERE a.i % 2 = 0 AND a.role = 'user' AND b.role = 'assistant') "
+    "SELECT c.conv_id, coalesce((SELECT string_agg('Question ' || k || ': ' || q || chr(10) || 'Answer ' || k || ': ' || r, chr(10) ORDER BY k) FROM p WHERE p.conv_id = c.conv_id), '') AS out FROM (SELECT DISTINCT conv_id FROM conversations) c"
+)
+def qa_text(spark, d):
+    return _gathered(spark, d).select("conv_id", conversations.as_text(F.col("messages")).alias("out"))
+
+
+@query(None)
+def conversation_markdown(spark, d):
+    return _gathered(spark, d).select("conv_id", conversations.as_markdown(F.col("messages")).alias("out"))
+
+
+@query("SELECT doc_id FROM labels WHERE toxic IS DISTINCT FROM 1 OR doc_id % 11 = 0")
+def verdict_filter(spark, d):
+    """Replies made of labels, every eleventh one without an object: those don't reject."""
+    reply = F.when(F.col("doc_id") % 11 == 0, "no object").otherwise(F.concat(F.lit('```json\n{"is_filter": '), F.when(F.col("toxic") == 1, "true").otherwise("false"), F.lit(', "reason": "r",}\n```')))
+    return conversations.accepted(table(spark, d, "labels").withColumn("v", model_calls.verdict(reply)), ["v"]).select("doc_id")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 10 ELSE CAST(quality * 7 AS DOUBLE) END AS score FROM labels WHERE doc_id % 11 = 0 OR quality * 7 > 5")
+def score_verdicts(spark, d):
+    reply = F.when(F.col("doc_id") % 11 == 0, "none").otherwise(F.concat(F.lit('{"score": '), (F.col("quality") * 7).cast("string"), F.lit("}")))
+    own = table(spark, d, "labels").select("doc_id", model_calls.score(reply, 10).score.alias("score"))
+    return conversations.above_score(own)
+
+
+@query("SELECT item_id FROM benchmark WHERE item_id % 3 = 0")
+def judge_answers(spark, d):
+    reply = F.when(F.col("item_id") % 3 == 0, " yes ").when(F.col("item_id") % 3 == 1, "NO").otherwise("YES, because")
+    return table(spark, d, "benchmark").where(model_calls.yes(reply)).select("item_id")
+
+
+on_documents("fill_template", "'Read: ' || text || ' (' || text || ') {n}'", lambda t: T.fill_template("Read: {text} ({text}) {n}", {"text": t}))
+on_documents("approximate_tokens", r"CAST(len(regexp_extract_all(text, '[一-鿿]')) + len(regexp_extract_all(text, '[^\s一-鿿]+')) AS INTEGER)", lambda t: T.approximate_tokens(t), "'中文' || text")
+on_documents("trim_paper", "'# T' || chr(10) || text || chr(10)", lambda t: trimmed_paper(F.concat(F.lit("front\n# T\n"), t, F.lit("\n## References\nx"))).body)
+on_documents("think_headings", "'## Reasoning' || chr(10) || 'r' || chr(10) || chr(10) || '## Answer' || chr(10) || trim(text, chr(32) || chr(9) || chr(10) || chr(13))", lambda t: T.think_headings(F.concat(F.lit("<think>r</think>"), t)))
+
+
+@query(None)
+def token_chunks(spark, d):
+    return cleaning.chunks(table(spark, d, "documents").withColumn("file_path", F.col("doc_id").cast("string")), least=50, most=400)
+
+
+@query(None)
+def follow_up_rounds(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.rounds(F.col("doc_id")).alias("rounds"), model_calls.endpoint(F.col("doc_id"), 3).alias("endpoint"))
+
+
 @query("SELECT event_type, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark, d):
     e = table(spark, d, "events")

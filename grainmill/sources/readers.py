@@ -150,3 +150,33 @@ def invalid_model(m: dict) -> str | None:
 
 def prompt(prompts: dict, category: str, key: str, default: str = "") -> str:
     return prompts.get(category, {}).get(key, default)
+
+
+def choose_model(configs: Sequence[dict], kind: str, pick: int = 0) -> dict:
+    """The pick-th endpoint (around the end) of the kind; else of "thinking", else of any."""
+    for own in ([c for c in configs if c.get("model_type") == kind], [c for c in configs if c.get("model_type") == "thinking"], list(configs)):
+        if own:
+            return own[pick % len(own)]
+    raise ValueError("no model is configured")
+
+
+def byte_offsets(spark: SparkSession, path: str) -> DataFrame:
+    """(file_path, offset, line_hash): where each line of the .jsonl files begins. A
+    file is one task's work here; line_hash alone is the better pointer."""
+    import hashlib
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                lines, at, starts = data.splitlines(keepends=True), 0, []
+                for x in lines:
+                    starts.append(at)
+                    at += len(x)
+                hashes = [hashlib.md5(x.rstrip(b"\r\n") + b"\n").hexdigest() for x in lines]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(lines), pa.string()), pa.array(starts, pa.int64()), pa.array(hashes, pa.string())], names=["file_path", "offset", "line_hash"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[jJ][sS][oO][nN][lL]").load(path)
+    return files.select("path", "content").mapInArrow(run, "file_path string, offset bigint, line_hash string")

@@ -130,3 +130,21 @@ def test_stream_equals_batch(spark, corpus):
         q = streaming.run(streaming.sampled(lines, weights), lambda df, n: df.write.mode("overwrite").parquet(f"{out}/n={n}"), str(corpus / "ck"))
         q.awaitTermination(120)
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == want and want
+
+
+def test_offsets_and_choice(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_bytes("é\nab\r\nlast".encode())
+    assert sorted(r.offset for r in R.byte_offsets(spark, str(tmp_path)).collect()) == [0, 3, 7]
+    models = [{"model_type": "instruct", "n": 1}, {"model_type": "thinking", "n": 2}]
+    assert R.choose_model(models, "instruct")["n"] == 1 and R.choose_model(models, "mix", 5)["n"] == 2 and R.choose_model(models[:1], "mix")["n"] == 1
+    with pytest.raises(ValueError):
+        R.choose_model([], "mix")
+
+
+def test_event_time_windows(spark, tmp_path):
+    df = spark.createDataFrame([("a", "2026-01-01 00:00:10", 1.0), ("a", "2026-01-01 00:00:50", 2.0), ("b", "2026-01-01 00:01:10", 4.0)], "k string, t string, v double").select("k", F.col("t").cast("timestamp").alias("t"), "v")
+    df.write.parquet(str(tmp_path / "e"))
+    s = spark.readStream.schema(df.schema).parquet(str(tmp_path / "e"))
+    q = streaming.token_windows(s, "t", "k", "v", "1 minute", "10 minutes").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((r.k, r.total, r.n) for r in spark.table("w").collect()) == [("a", 3.0, 2), ("b", 4.0, 1)]
