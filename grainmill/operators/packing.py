@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainmill.operators.components import ensure_checkpoint_dir
+
 
 def line_bytes(*columns: str) -> Column:
     """UTF-8 bytes of the row as a JSON line with its end."""
@@ -58,9 +60,12 @@ def pack(rows: DataFrame, order: str, size: Column, cap: int, partitions: int |
     spread = own.repartition(1) if exact else own.repartitionByRange(partitions or rows.sparkSession.sparkContext.defaultParallelism, "__order")
     sorted_ = spread.sortWithinPartitions("__order").withColumn("__part", F.spark_partition_id())
     made = sorted_.mapInArrow(_packer(cap), f"__order {kind}, __bytes bigint, __part int, __shard bigint")
-    # the range partitions' bounds are sampled anew by each run of the plan, so the
-    # numbers of one run are kept before they are added up
+    if exact:
+        return made.select(F.col("__order").alias(order), F.col("__bytes").alias("bytes"), (F.col("__shard") + 1).alias("shard"))
+    # range bounds are sampled, so the numbers of one run are kept (ids and sizes
+    # only, in the checkpoint folder) before they are added up
+    ensure_checkpoint_dir(rows.sparkSession)
+    made = made.checkpoint()
     parts = made.groupBy("__part").agg((F.max("__shard") + 1).alias("n"))
     base = parts.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("base"))
-    out = made.join(base, "__part") if not exact else made.withColumn("base", F.lit(0))
-    return out.select(F.col("__order").alias(order), F.col("__bytes").alias("bytes"), (F.col("base") + F.col("__shard") + 1).alias("shard"))
+    return made.join(base, "__part").select(F.col("__order").alias(order), F.col("__bytes").alias("bytes"), (F.col("base") + F.col("__shard") + 1).alias("shard"))
