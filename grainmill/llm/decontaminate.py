@@ -119,26 +119,44 @@ class Index:
 
 
 def align(segment: str, region: str, k: int) -> tuple[int, int] | None:
-    """(edits, end in region) of the stretch of region nearest to segment, if within k.
-
-    A row for each character of the segment; a row holds the band: the diagonals
-    of the region, k more at either edge; begin and end in the region are free."""
-    i = region.find(segment)
-    if i >= 0:
-        return 0, i + len(segment)
-    p, t = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) for x in (segment, region))
-    m, edge = len(p), np.full(k, -1)  # a stretch may begin or end with edits beyond the region
-    t = np.concatenate((edge, t, edge))
-    n = len(t) - m + 1
-    row, step, best = np.zeros(n, np.int64), np.arange(n), np.empty(n, np.int64)
+    """(edits, end in region) of the stretch of region nearest to segment, if within k."""
+    return align_many([segment], [region], k)[0]
+
+
+def align_many(segments: list[str], regions: list[str], k: int) -> list[tuple[int, int] | None]:
+    """align() of pairs whose segments are of equal length, all at once.
+
+    A step for each character of the segments; a row holds a pair's band: the
+    diagonals of its region, k more at either edge; begin and end in the region are
+    free. Pairs that exceed k on all diagonals are dropped on the way."""
+    out: list[tuple[int, int] | None] = []
+    for s, r in zip(segments, regions):
+        out.append((0, i + len(s)) if (i := r.find(s)) >= 0 else None)
+    todo = np.array([x for x, done in enumerate(out) if done is None], np.int64)
+    if not len(todo):
+        return out
+    code = lambda x: np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.int32)
+    m, wide = len(segments[0]), max(len(regions[x]) for x in todo) + 2 * k  # a stretch may begin or end with edits beyond the region
+    p, t = np.stack([code(segments[x]) for x in todo]), np.full((len(todo), max(wide, m)), -1, np.int32)
+    for row, x in zip(t, todo):
+        row[k : k + len(regions[x])] = code(regions[x])
+    n = t.shape[1] - m + 1
+    step, row = np.arange(n, dtype=np.int16), np.zeros((len(todo), n), np.int16)
     for i in range(m):
-        best[:] = row + (t[i : i + n] != p[i])
-        best[:-1] = np.minimum(best[:-1], row[1:] + 1)
-        row = np.minimum.accumulate(best - step) + step
-        if row.min() > k:
-            return None
-    end = int(row.argmin())
-    return (int(row[end]), min(max(m + end - k, 0), len(region))) if row[end] <= k else None
+        best = row + (t[:, i : i + n] != p[:, i, None])
+        np.minimum(best[:, :-1], row[:, 1:] + 1, out=best[:, :-1])
+        best -= step
+        row = np.minimum.accumulate(best, axis=1)
+        row += step
+        if i % 12 == 11 and not (live := (row <= k).any(axis=1)).all():
+            todo, p, t, row = todo[live], p[live], t[live], row[live]
+            if not len(todo):
+                return out
+    for x, r in zip(todo.tolist(), row):
+        end = int(r.argmin())
+        if r[end] <= k:
+            out[x] = int(r[end]), min(max(m + end - k, 0), len(regions[x]))
+    return out
 
 
 def search(index: Index, texts: list[str]) -> Iterator[tuple[int, int | None, int, int]]:
@@ -162,14 +180,21 @@ def search(index: Index, texts: list[str]) -> Iterator[tuple[int, int | None, in
             for other in (d - 1, d + 1):
                 if 0 <= other < len(texts) and starts[other] - SEGMENT <= low + 2 * SEGMENT and low <= starts[other] + len(texts[other]):
                     regions[other, s].append(low)
+        tasks = defaultdict(list)
         for (d, s), lows in regions.items():
-            item, segment = index.segments[s]
-            k, text = int(index.k[s]), texts[d]
+            segment, k = index.segments[s][1], int(index.k[s])
             for low in sorted(set(lows)):
                 a = max(0, low - starts[d] - k)
-                region = text[a : max(0, low - starts[d] + 2 * (k + 1) + len(segment) + k)]
-                if len(region) + k >= len(segment) and (found := align(segment, region, k)):
-                    best[d, item] = min(best.get((d, item), (1 << 30, 0)), (found[0], a + found[1]))
+                region = texts[d][a : max(0, low - starts[d] + 2 * (k + 1) + len(segment) + k)]
+                if len(region) + k >= len(segment):
+                    tasks[len(segment)].append((d, s, a, region))
+        for own in tasks.values():
+            for x in range(0, len(own), 512):
+                part = own[x : x + 512]
+                for (d, s, a, _), found in zip(part, align_many([index.segments[s][1] for _, s, _, _ in part], [r for *_, r in part], int(index.k[part[0][1]]))):
+                    if found:
+                        item = index.segments[s][0]
+                        best[d, item] = min(best.get((d, item), (1 << 30, 0)), (found[0], a + found[1]))
     for item, word in index.short:
         own = re.compile(rf"(?<!\w){re.escape(word)}(?!\w)")
         for d, t in enumerate(texts):
