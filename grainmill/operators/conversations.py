@@ -135,13 +135,13 @@ def neighbours(rows: DataFrame, id_col: str) -> DataFrame:
     w = Window.orderBy(id_col)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     i = F.col(id_col)
-    return rows.select(i, F.row_number().over(w).alias("position"), F.coalesce(F.lead(i).over(w), F.first(i).over(whole)).alias("next_id"), F.coalesce(F.lag(i).over(w), F.last(i).over(whole)).alias("previous_id"))
+    return rows.select(i, F.row_number().over(w).cast("bigint").alias("position"), F.coalesce(F.lead(i).over(w), F.first(i).over(whole)).alias("next_id"), F.coalesce(F.lag(i).over(w), F.last(i).over(whole)).alias("previous_id"))
 
 
 def bounded_neighbours(rows: DataFrame, id_col: str) -> DataFrame:
     """As neighbours(), but stopping at the ends."""
     w, i = Window.orderBy(id_col), F.col(id_col)
-    return rows.select(i, F.row_number().over(w).alias("position"), F.lead(i, 1).over(w).alias("next_id"), F.lag(i, 1).over(w).alias("previous_id"))
+    return rows.select(i, F.row_number().over(w).cast("bigint").alias("position"), F.lead(i, 1).over(w).alias("next_id"), F.lag(i, 1).over(w).alias("previous_id"))
 
 
 def above_score(items: DataFrame, score: str = "score", over: float = 5) -> DataFrame:
