@@ -119,7 +119,15 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
         near = min(k, upper.shape[1]) - 1
         kth = np.partition(upper, near, axis=1)[:, near]
         a, b = np.nonzero((middle <= kth[:, None]) & (middle < np.inf))
-        far = np.square(x[b] - part[a]).sum(axis=1)
+        far = np.empty(len(a))
+        for c in range(0, len(a), 8192):  # true distances, a piece that fits the cache at a time
+            apart = x[b[c : c + 8192]]
+            apart -= part[a[c : c + 8192]]
+            np.einsum("ij,ij->i", apart, apart, out=far[c : c + 8192])
+        exact = np.full(middle.shape, np.inf)
+        exact[a, b] = far
+        best = far <= np.partition(exact, near, axis=1)[a, near]
+        a, b, far = a[best], b[best], far[best]
         order = np.lexsort((ids[b], far, a))
         a, b, far = a[order], b[order], far[order]
         rank = np.arange(len(a)) - np.searchsorted(a, a)
