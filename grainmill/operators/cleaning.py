@@ -41,14 +41,16 @@ def label_of(t: Column, detect: Detector = script_language) -> Column:
 
 def clean(
     docs: DataFrame, id_col: str = "id", text_col: str = "text", most: int = 2048, detect: Detector = script_language,
-    gate: Gate = length_gate, sure: float = 0.8, empty_after_formulas: str = "keep",
+    gate: Gate = length_gate, sure: float = 0.8, empty_after_formulas: str = "keep", latex: Callable[[Column], Column] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(cleaned, rejects). Images go, tables become pipe tables, a text is cut at
     headings; a chunk stays if it is zh or en for sure and passes the gate, or
     fails it only for being short. Formulas are left out where a chunk is judged,
     not where it is kept. Rejects are (id, pos, flag, text) of the gate; chunks
     of other languages go without a line there. A chunk that consists of formulas
-    stays ("keep") or goes ("drop")."""
+    stays ("keep") or goes ("drop"). latex, where given, sees the whole cleaned text
+and gives struct<text: string, rejected: array<struct<flag: string, text: string>>>;
+what it rejects joins the rejects at position -1."""
     body = markdown.tables_to_markdown(text.remove_images(F.col(text_col)))
     parts = docs.select(F.col(id_col).alias("id"), F.posexplode(markdown.heading_chunks(body, most)).alias("pos", "chunk"))
     bare = text.remove_formulas(F.col("chunk"))
@@ -61,7 +63,12 @@ def clean(
     judged = parts.select("id", "pos", "chunk", "verdict.flag", stays.alias("stays"), (~blank & known & ~F.col("verdict.ok") & ~short).alias("rejected"))
     whole = judged.groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("stays"), F.struct("pos", "chunk")))).alias("kept"))
     cleaned = whole.select("id", F.array_join(F.transform("kept", lambda x: x.chunk), "").alias("text"))
-    return cleaned, judged.where("rejected").select("id", "pos", "flag", F.col("chunk").alias("text"))
+    rejects = judged.where("rejected").select("id", "pos", "flag", F.col("chunk").alias("text"))
+    if latex is None:
+        return cleaned, rejects
+    seen = cleaned.select("id", latex(F.col("text")).alias("l"))
+    bad = seen.select("id", F.explode("l.rejected").alias("r")).select("id", F.lit(-1).alias("pos"), "r.flag", "r.text")
+    return seen.select("id", "l.text"), rejects.union(bad)
 
 
 def chunks(docs: DataFrame, text_col: str = "text", path_col: str = "file_path", least: int = 2000, most: int = 15_000, count: Callable[[str], int] = markdown.word_count, detect: Detector = script_language) -> DataFrame:

@@ -104,6 +104,14 @@ def test_cleaning(spark):
     assert [(r.id, r.flag) for r in rejects.collect()] == [("x", "special characters")]
 
 
+def test_cleaning_with_a_formula_filter(spark):
+    docs = spark.createDataFrame([("x", "# a\nThis is a plain sentence with $bad$ in it.\n")], "id string, text string")
+    latex = lambda t: F.struct(F.replace(t, F.lit("$bad$"), F.lit("")).alias("text"), F.array(F.struct(F.lit("low quality").alias("flag"), F.lit("$bad$").alias("text"))).alias("rejected"))
+    cleaned, rejects = cleaning.clean(docs, latex=latex)
+    assert cleaned.first().text == "# a\nThis is a plain sentence with  in it.\n"
+    assert [tuple(r) for r in rejects.collect()] == [("x", -1, "low quality", "$bad$")]
+
+
 def test_packing_equals_a_loop(spark):
     sizes = [6, 6, 6, 3, 3, 20, 1, 1]
     assert [s + 1 for s in packing.greedy(sizes, 10)] == [1, 2, 3, 3, 4, 5, 6, 6]
