@@ -2,9 +2,10 @@
 
 Every block element of a page is a subtree, hashed by its source. Spark counts
 on how many different pages of its host each subtree occurs; one that occurs on
-MIN_PAGES of them and on the SHARE of the host's pages at least belongs to the
-site's template. Template subtrees are deleted, the outermost first, and what is
-left is rendered as text.
+MIN_PAGES of them at least belongs to the site's template, however large the
+host is: a large site has many templates, each on a small share of its pages.
+Template subtrees are deleted, the outermost first, and what is left is rendered
+as text.
 
 Pages of equal source count once, so a page that was crawled many times is
 not taken for a template. The count is a two-step aggregation of 16-byte keys;
@@ -20,7 +21,7 @@ Results for special cases:
 * null page_id and repeated rows: each row has its result;
 * unclosed and misnested elements: closed where a parent closes, at the latest
   at the end; end tags without a beginning are skipped;
-* ties: a share reached exactly counts; an empty table gives an empty result;
+* ties: a count reached exactly counts; an empty table gives an empty result;
 * other columns are not looked at.
 """
 
@@ -37,7 +38,9 @@ from pyspark.sql import functions as F
 
 from grainmill.llm._common import materialise
 
-MIN_PAGES, SHARE = 5, 0.05
+MIN_PAGES = 5
+#: The share of the host's pages that is asked for besides: none. Only recounts read it.
+SHARE = 0.0
 BROADCAST_KEYS = 4_000_000
 
 _BLOCKS = frozenset(
@@ -150,9 +153,8 @@ def extract(pages: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame
     some = rows.where(F.length("html") > 0)
     marks = some.select("host", digest.alias("digest"), "html").mapInArrow(_mark, "host string, digest bigint, keys array<bigint>")
     marks = materialise(marks.groupBy("digest").agg(F.first("host").alias("host"), F.first("keys").alias("keys")), "marks")
-    of_host = marks.groupBy("host").agg(F.count("*").alias("pages"))
-    counted = marks.select(F.xxhash64("host").alias("h"), F.explode("keys").alias("key")).groupBy("h", "key").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
-    template = counted.join(of_host.select(F.xxhash64("host").alias("h"), "pages"), "h").where(F.col("n") >= SHARE * F.col("pages")).select("key")
+    counted = marks.select(F.xxhash64("host").alias("h"), F.explode("keys").alias("key")).groupBy("h", "key").agg(F.count("*").alias("n"))
+    template = counted.where(F.col("n") >= MIN_PAGES).select("key")
     template = materialise(template.distinct(), "template")
     if template.count() <= broadcast_keys:
         keys = template.toArrow().column("key").to_numpy()

@@ -71,6 +71,21 @@ def test_table(spark):
     assert sorted((r.page_id, r.n_removed, r.text) for r in H.extract(df).collect()) == brute([(r.page_id, r.url, r.html) for r in df.collect()])
 
 
+def test_templates_of_a_large_host(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").where("url like '%://blog.tionsh.example.com/%'")
+    rows = {(r.page_id, r.html) for r in df.collect()}
+    on = defaultdict(set)
+    for _, html in rows:
+        for a, b in H.subtrees(html):
+            if html.startswith(("<nav", "<footer"), a):
+                on[html[a:b]].add(html)
+    often = {s for s, n in on.items() if len(n) >= 5}
+    text = {r.page_id: r.text for r in H.extract(df).collect()}
+    hit = [(H.render(s), text[i]) for i, html in rows for s in often if s in html]
+    assert len(hit) > 400
+    assert not [i for i, (block, left) in enumerate(hit) if block in left]
+
+
 def test_warc_special_cases(spark):
     rows = [("r1", "https://x", "2026-01-01T00:00:00Z", "A: 1\r\nB: $2", "<html lang=en><title>T &amp;</title><p>Hi &lt;b&gt;<a href=\"u\">l</a><script>no</script>"), (None, None, None, None, None), ("r2", "", None, "", ""), ("r1", "https://x", None, None, "y" * 500_000)]
     df = spark.createDataFrame([(*r, "z") for r in rows], "record_id string, target_uri string, date string, headers string, payload string, block string")
