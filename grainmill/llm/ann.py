@@ -17,10 +17,13 @@ random rounding, and each bit plane costs an AND and a population count.
 Within a cluster the vectors whose lower bound of distance doesn't exceed the
 K-th least upper bound are reranked by true distance. A query first searches its
 own cluster, which bounds its K-th distance; then it visits each other cluster
-where a member may be nearer: at distance d from the centroid, a residual of
-norm r lies at d^2 + r^2 - 2 d r <o, q>, and <o, q> exceeds REACH / sqrt(D) with
-a small probability. Vectors without structure make it visit most clusters,
-which keeps the recall; clustered ones few. The best of all visits meet in one
+where a member may be nearer. That is decided by bounds that hold for any data:
+at distance d from a centroid whose members' residuals have norms of least to
+most, none lies nearer than d - most or least - d (triangle inequality); and
+none lies nearer than the plane between that centroid and the query's own, since
+every vector is with its nearest centroid. So no cluster that holds a neighbour
+is skipped; vectors without structure make a query visit nearly all clusters,
+well separated ones few. The best of all visits meet in one
 last aggregation. A cluster larger than BLOCK is split into blocks that are
 searched separately, so nothing is capped.
 
@@ -45,7 +48,9 @@ from pyspark.sql import functions as F
 from grainmill.llm._common import keep_heap, materialise
 
 K, STEPS, TARGET, BLOCK = 10, 4, 4096, 16_384
-ERROR, REACH, QUERY_BITS, SEED = 1.9, 3.0, 5, 20240527
+ERROR, QUERY_BITS, SEED = 1.9, 5, 20240527
+#: Relative slack of the bounds on clusters, for rounding.
+SLACK = 1e-6
 
 
 def rotation(d: int, seed: int = SEED) -> np.ndarray:
@@ -157,14 +162,19 @@ def _visits(centres: np.ndarray, least: np.ndarray, most: np.ndarray):
     """The other clusters in which a query (vec_id, v, c, kth) may find something nearer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        square, reach = (centres**2).sum(axis=1), REACH / np.sqrt(centres.shape[1])
+        square = (centres**2).sum(axis=1)
+        apart = np.sqrt(np.maximum(0, square[:, None] - 2 * centres @ centres.T + square))
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 b = batch.slice(i, 1024)
                 x, own, kth = _vectors(pa.Table.from_batches([b]), "v"), b.column(2).to_numpy(), b.column(3).to_numpy(zero_copy_only=False)
-                d = np.sqrt(np.maximum(0, square - 2 * (x @ centres.T) + (x**2).sum(axis=1, keepdims=True)))
-                r = np.clip(d * reach, least, most)
-                go = d * d + r * r - 2 * d * r * reach <= np.where(np.isnan(kth), np.inf, kth)[:, None] ** 2
+                long = (x**2).sum(axis=1, keepdims=True)
+                d2 = np.maximum(0, square - 2 * (x @ centres.T) + long)
+                d = np.sqrt(d2)
+                with np.errstate(invalid="ignore", divide="ignore"):  # equal centroids have no plane between them
+                    plane = np.nan_to_num((d2 - d2[np.arange(len(x)), own][:, None]) / (2 * apart[own]), nan=0, posinf=0, neginf=0)
+                bound = np.maximum(plane, np.maximum(d - most, least - d))
+                go = bound <= np.where(np.isnan(kth), np.inf, kth)[:, None] + SLACK * (np.sqrt(long) + d)
                 go[np.arange(len(x)), own] = False
                 go[:, most < 0] = False
                 offsets = pa.array(np.concatenate(([0], np.cumsum(go.sum(axis=1)))).astype(np.int32))

@@ -40,6 +40,26 @@ def test_recall(spark, monkeypatch, kind, target, block):
     assert all(abs(r.distance - d[r.vec_id // 3, r.neighbour_id // 3]) < 1e-4 for r in got)
 
 
+@pytest.mark.parametrize("kind", ["overlapping", "1/k", "low"])
+def test_recall_where_neighbours_lie_across_cells(spark, monkeypatch, kind):
+    monkeypatch.setattr(A, "TARGET", 200)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((1600, 64))
+    if kind == "overlapping":
+        x = 0.5 * x + rng.standard_normal((40, 64))[rng.integers(0, 40, 1600)]
+    elif kind == "1/k":
+        x /= np.arange(1, 65)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    else:
+        x = x[:, :3] @ rng.standard_normal((3, 64))
+    x = x.astype(np.float32).astype(float)
+    df = spark.createDataFrame([(k, [float(a) for a in v]) for k, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = A.neighbours(df, 10).collect()
+    near = brute(x, 10)[1]
+    assert len(got) == 16000
+    assert np.mean([r.neighbour_id in near[r.vec_id] for r in got]) > 0.97
+
+
 def test_special_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, [nan, 0.0]), (6, [inf, 0.0]), (7, [None, 0.0]), (8, [1.0]), (9, []), (None, [0.0, 1.0])]
