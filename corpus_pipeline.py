@@ -24,7 +24,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_rows(docs, "text", toxicity.keeper)
+    stems = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return keep_rows(docs, "text", lambda: toxicity.keeper(stems))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

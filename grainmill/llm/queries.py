@@ -23,7 +23,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxic(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxic(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

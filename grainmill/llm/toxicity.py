@@ -13,8 +13,15 @@ clause and weight it; they are composed, once, into one machine:
 
 A clause ends at . ! ? ; : or a line's end. A clause without an insult or a
 threat verb scores 0 in this machine whatever else it says, so only clauses
-that hold one are run; an Aho-Corasick automaton finds them. A document's score is the sum of its clauses' scores
-over what a text of its length may hold,
+that hold one are run; an Aho-Corasick automaton finds them.
+
+The word lists know only the words in them. Word stems of each language are
+learned besides from labelled texts (learn): beginnings of words that make far
+more of the words of toxic texts than of others. A word that begins with one is
+an insult to the grammar. Learning takes a sample of LEARN_ROWS labelled texts
+at most for each language and label, those of least hash.
+
+A document's score is the sum of its clauses' scores over what a text of its length may hold,
 
     score = sum of clause scores / (BASE + PER_WORD * words),
 
@@ -23,6 +30,8 @@ and it is toxic from a score of 1: a long text isn't toxic for one hard word.
 Results for special cases:
 * null, empty or blank text: score 0, not toxic;
 * null doc_id and repeated rows: judged like any other row;
+* no labels, or fewer than LEAST toxic texts with a stem: no stem is learned;
+* a doc_id labelled both ways: not learned from; null lang: a language;
 * very long texts: judged whole; an empty table gives an empty result;
 * positions are those in the lower-case text;
 * other columns are not looked at.
@@ -30,14 +39,18 @@ Results for special cases:
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainmill.llm._common import broadcast_ids
+
 BASE, PER_WORD = 1.2, 0.006
 
 _WORDS = {
@@ -62,6 +75,9 @@ CLASSES = ("OTH", "INS", "THR", "YOU", "AIM", "NEG", "REP", "INT")
 _SEVERITY = {"scum": 1.1, "vermin": 1.3, "filth": 1.2, "abschaum": 1.2, "escoria": 1.2, "dumb": 0.8, "pig": 0.7, "trash": 0.9, "garbage": 0.7, "stupid": 0.9}
 _WEIGHT = {"INS_YOU": 1.6, "INS_AIM": 1.15, "INS_BARE": 1.0, "THREAT": 2.6, "WEAK": 2.0}
 _DENIED, _REPORTED = 0.15, 0.35
+#: Learning: rows a language and label, and their characters; lengths of stems; a stem's least texts and share of the toxic ones, times as frequent, and log-likelihood ratio.
+LEARN_ROWS, LEARN_CHARS, LENGTHS = 1000, 20_000, range(3, 9)
+LEAST, SHARE, TIMES, EVIDENCE = 4, 0.05, 10, 15
 
 #: state -> symbol in -> (symbol out, weight, next state)
 Sequential = dict[object, dict[str, tuple[str, float, object]]]
@@ -153,9 +169,64 @@ def grammar() -> tuple[list[list[int]], list[list[float]], list[list[str]]]:
     return [[at[c[2]] for c in row] for row in cell], [[c[1] for c in row] for row in cell], [[c[0] for c in row] for row in cell]
 
 
-@lru_cache(1)
-def _lexicon():
-    """Classes by word, the automaton of insults and threat verbs, clause edges, words."""
+_TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+
+
+def stems_of(toxic_texts: list[str], others: list[str]) -> list[str]:
+    """Beginnings of words that tell toxic texts of a language from others; a text's equal words count once."""
+
+    def count(texts: list[str]) -> tuple[Counter, Counter, int]:
+        words, within, total = Counter(), Counter(), 0
+        for t in texts:
+            own = set(_TOKEN.findall(t.lower()))
+            stems = [w[:n] for w in own for n in LENGTHS if len(w) >= n]
+            words.update(stems)
+            within.update(set(stems))
+            total += len(own)
+        return words, within, total
+
+    apart: list[tuple[str, set[str]]] = []
+    for t in toxic_texts:  # near copies are evidence once
+        own = {w for w in _TOKEN.findall(t.lower()) if len(w) > 5}
+        if not any(2 * len(own & x) > min(len(own), len(x)) for _, x in apart):
+            apart.append((t, own))
+    toxic_texts = [t for t, _ in apart]
+    (hot, within, n), (cold, _, m) = count(toxic_texts), count(others)
+    if not m:
+        return []
+    found = []
+    for stem, k in hot.items():
+        expected = (cold[stem] + 0.5) / m * n
+        if within[stem] >= max(LEAST, SHARE * len(toxic_texts)) and k >= TIMES * expected and (evidence := k * math.log(k / expected) - k + expected) >= EVIDENCE:
+            found.append((-evidence, -len(stem), stem))
+    out: list[str] = []
+    for _, _, stem in sorted(found):
+        if not any(stem.startswith(x) or x.startswith(stem) for x in out):
+            out.append(stem)
+    return out
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[str, ...]:
+    """The stems of all languages of the labelled documents."""
+    y = (
+        labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
+        .where("doc_id is not null and y in (0, 1)")
+        .groupBy("doc_id")
+        .agg(F.min("y").alias("y"), F.max("y").alias("most"))
+        .where("y = most")
+    )
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text").where(F.length("text").between(1, LEARN_CHARS))
+    by = Window.partitionBy("lang", "y").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = {r.doc_id: r.y for r in own.select("doc_id", "lang").join(y, "doc_id").withColumn("k", F.row_number().over(by)).where(F.col("k") <= LEARN_ROWS).select("doc_id", "y").collect()}
+    texts: dict[str, tuple[list[str], list[str]]] = {}
+    for lang, i, text in sorted({(r.lang or "", r.doc_id, r.text) for r in broadcast_ids(own, list(picked)).collect()} if picked else ()):
+        texts.setdefault(lang, ([], []))[1 - picked[i]].append(text)
+    return tuple(sorted({x for a, b in texts.values() for x in stems_of(a, b)}))
+
+
+@lru_cache(4)
+def _lexicon(stems: tuple[str, ...] = ()):
+    """Classes by word, the automaton of insults, threat verbs and stems, clause edges, stems and their lengths."""
     import ahocorasick
 
     words: dict[str, int] = {}
@@ -166,17 +237,21 @@ def _lexicon():
     for w, c in words.items():
         if CLASSES[c] in ("INS", "THR"):
             triggers.add_word(w)
+    for x in stems:
+        triggers.add_word(x)
     triggers.make_automaton()
-    return words, triggers, re.compile(r"[.!?;:\n\r\u2028\u2029]"), re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+    return words, triggers, re.compile(r"[.!?;:\n\r\u2028\u2029]"), frozenset(stems), sorted({len(x) for x in stems})
 
 
-def clause_score(clause: str) -> tuple[float, str]:
+def clause_score(clause: str, stems: tuple[str, ...] = ()) -> tuple[float, str]:
     """The score of a clause, and the labels of what matched in it."""
-    words, _, _, token = _lexicon()
+    words, _, _, begins, lengths = _lexicon(stems)
     nxt, weight, label = grammar()
     s, total, labels = 0, 0.0, []
-    for w in token.findall(clause.lower().replace("’", "'")):
+    for w in _TOKEN.findall(clause.lower().replace("’", "'")):
         c = words.get(w, 0)
+        if not c and any(w[:n] in begins for n in lengths):
+            c = 1
         if weight[s][c]:
             total += weight[s][c] * _SEVERITY.get(w, 1.0)
             labels.append(label[s][c])
@@ -184,26 +259,26 @@ def clause_score(clause: str) -> tuple[float, str]:
     return total, "+".join(labels)
 
 
-def clauses(text: str) -> list[tuple[int, int, str, float]]:
+def clauses(text: str, stems: tuple[str, ...] = ()) -> list[tuple[int, int, str, float]]:
     """(start, end, labels, score) of the clauses of text that match."""
-    _, triggers, edge, _ = _lexicon()
+    _, triggers, edge, begins, _ = _lexicon(stems)
     text, out, end = text.lower(), [], 0
     for last, n in triggers.iter(text):
         start, stop = last + 1 - n, last + 1
-        if start < end or text[start - 1 : start].isalnum() or text[stop : stop + 1].isalnum():
+        if start < end or text[start - 1 : start].isalnum() or text[stop : stop + 1].isalnum() and text[start:stop] not in begins:
             continue
         after = edge.search(text, stop)
         # the clause begins behind the last edge before the match
         begin = max(end, max(text.rfind(c, end, start) for c in ".!?;:\n\r\u2028\u2029") + 1)
         end = after.start() if after else len(text)
-        score, labels = clause_score(text[begin:end])
+        score, labels = clause_score(text[begin:end], stems)
         if score:
             out.append((begin, end, labels, score))
     return out
 
 
-def judge(text: str | None) -> tuple[float, list[tuple[int, int, str, float]]]:
-    found = clauses(text) if text else []
+def judge(text: str | None, stems: tuple[str, ...] = ()) -> tuple[float, list[tuple[int, int, str, float]]]:
+    found = clauses(text, stems) if text else []
     if not found:
         return 0.0, found
     return sum(c[3] for c in found) / (BASE + PER_WORD * len(text.split())), found
@@ -212,19 +287,23 @@ def judge(text: str | None) -> tuple[float, list[tuple[int, int, str, float]]]:
 _SCHEMA = "doc_id bigint, score double, clauses array<struct<start: int, stop: int, labels: string, score: double>>"
 
 
-def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _flag(stems: tuple[str, ...]):
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("labels", pa.string()), ("score", pa.float64())]))
-    for batch in batches:
-        ids, found = batch.column(0).to_pylist(), [judge(t) for t in batch.column(1).to_pylist()]
-        rows = [(i, s, [dict(zip(("start", "stop", "labels", "score"), c)) for c in cs]) for i, (s, cs) in zip(ids, found) if s >= 1]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], kind)], names=["doc_id", "score", "clauses"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found = batch.column(0).to_pylist(), [judge(t, stems) for t in batch.column(1).to_pylist()]
+            rows = [(i, s, [dict(zip(("start", "stop", "labels", "score"), c)) for c in cs]) for i, (s, cs) in zip(ids, found) if s >= 1]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], kind)], names=["doc_id", "score", "clauses"])
+
+    return run
 
 
-def toxic(docs: DataFrame) -> DataFrame:
+def toxic(docs: DataFrame, stems: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, score, clauses) of the toxic documents, with their matched clauses."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_flag, _SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_flag(stems), _SCHEMA)
 
 
-def keeper():
+def keeper(stems: tuple[str, ...] = ()):
     """For _common.keep_rows: texts that aren't toxic stay."""
-    return lambda texts: [judge(t)[0] < 1 for t in texts]
+    return lambda texts: [judge(t, stems)[0] < 1 for t in texts]

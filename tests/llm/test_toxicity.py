@@ -79,3 +79,20 @@ def test_labelled_rows(spark):
     y = {r.doc_id: r.toxic for r in en.select("doc_id", "toxic").collect()}
     assert sum(i in flagged for i in y if y[i] == 1) / sum(y.values()) > 0.9
     assert not [i for i in flagged if y[i] == 0]
+
+
+def test_stems_of_all_languages(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("documents", "labels"))
+    docs = docs.join(labels, "doc_id")
+    odd = labels.where("doc_id % 2 = 1")
+    stems = X.learn(docs.drop("toxic", "quality"), odd)
+    even = docs.where("doc_id % 2 = 0")
+    flagged = {r.doc_id for r in X.toxic(even, stems).collect()}
+    rows = even.select("doc_id", "lang", "toxic").collect()
+    for lang in ("en", "de", "fr", "es"):
+        own = [r.doc_id in flagged for r in rows if r.toxic and r.lang == lang]
+        assert sum(own) / len(own) > 0.85
+    clean = [r.doc_id in flagged for r in rows if not r.toxic]
+    assert sum(clean) / len(clean) < 0.005
+    assert X.learn(docs.drop("toxic", "quality"), labels.limit(0)) == ()
