@@ -72,7 +72,8 @@ class _Cells(HTMLParser):
 def table_to_markdown(html: str) -> str:
     """A table as a pipe table: a spanning cell's text stands in its first place, a
     space in the others; the first row is the head. Unchanged if it has no cells.
-    A span that is no number counts as 1."""
+    A span that is no number counts as 1, one over 1,000 as that (HTML's own limit);
+    no cell reaches below the last row."""
     p = _Cells()
     p.feed(html)
     p.close()
@@ -82,10 +83,11 @@ def table_to_markdown(html: str) -> str:
         for text, wide, high in row:
             while (r, c) in grid:
                 c += 1
-            for i in range(max(1, high)):
-                for j in range(max(1, wide)):
+            high, wide = min(max(1, high), len(p.rows) - r), min(max(1, wide), 1000)
+            for i in range(high):
+                for j in range(wide):
                     grid[r + i, c + j] = text if i == j == 0 else " "
-            c += max(1, wide)
+            c += wide
     if not grid:
         return html
     width, height = max(c for _, c in grid) + 1, len(p.rows)
@@ -99,13 +101,13 @@ def convert_tables(text: str) -> str:
 
 def heading_sections(text: str) -> list[str]:
     """Pieces that begin at lines whose first visible character is #."""
-    out: list[str] = []
+    out: list[list[str]] = []
     for line in text.splitlines(keepends=True):
         if not out or line.lstrip().startswith("#"):
-            out.append(line)
+            out.append([line])
         else:
-            out[-1] += line
-    return out
+            out[-1].append(line)
+    return list(map("".join, out))
 
 
 def _cut(text: str, most: int) -> list[str]:

@@ -17,11 +17,12 @@ from grainmill.functions.text import let
 EMAIL = r"[A-Za-z0-9.\-+_]+@[A-Za-z0-9.\-+_]+\.[A-Za-z]+"
 LINK = r"(?i)\b(?:https?|ftp)://[^\s<>\"']+|\bwww\.[^\s<>\"']+"
 _PUNCTUATION = {
-    "，": ",", "。": ".", "、": ",", "„": '"', "”": '"', "“": '"', "«": '"', "»": '"', "１": '"', "」": '"', "「": '"', "《": '"', "》": '"', "´": "'",
+    "，": ",", "。": ".", "、": ",", "„": '"', "”": '"', "“": '"', "«": '"', "»": '"', "」": '"', "「": '"', "《": '"', "》": '"', "´": "'",
     "∶": ":", "：": ":", "？": "?", "！": "!", "（": "(", "）": ")", "；": ";", "–": "-", "—": "-", "．": ".", "～": "~", "’": "'", "━": "-", "〈": "<",
     "〉": ">", "【": "[", "】": "]", "％": "%", "►": "-",
 }
-_SPACES = "              　​‍⁠￼\x84"
+#: Every space separator but the plain one, and the invisible characters that stand for none.
+_SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000\u200b\u200c\u200d\u2060\ufeff\ufffc\u0084"
 
 
 def clean_email(t: Column) -> Column:
@@ -105,27 +106,41 @@ def _repeated(grams: Column) -> Column:
 
 
 def word_repetition(t: Column, n: int = 10) -> Column:
-    """The share of word n-grams (by their 64-bit hashes) that occur more than once."""
+    """The share of word n-grams that occur more than once. Every word is
+    hashed once; an n-gram is a hash of its words' hashes."""
 
-    def grams(own: Column) -> Column:
-        last = F.size(own) - n + 1
-        return F.transform(F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(F.slice(own, i, n)))
+    def grams(h: Column) -> Column:
+        last = F.size(h) - n
+        places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)]))
 
-    return let(words(t), lambda own: _repeated(grams(own)))
+    return let(words(t), lambda own: let(F.transform(own, lambda w: F.xxhash64(w)), lambda h: _repeated(grams(h))))
 
 
 def character_repetition(t: Column, n: int = 10) -> Column:
     """The share of the most frequent sqrt(number of distinct) character n-grams
-    among all of them; n-grams that occur once don't count. In Arrow batches."""
-    from collections import Counter
+    among all of them; n-grams that occur once don't count. In Arrow batches, as
+    array work: a running polynomial gives the hash of each n-gram."""
+    import numpy as np
+
+    base = np.uint64(0xD6E8FEB86659FD93)
 
     def of(text: str) -> float:
-        grams = Counter(text[i : i + n] for i in range(len(text) - n + 1))
-        counts = sorted(grams.values(), reverse=True)
-        if not counts:
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        m = len(c) - n + 1
+        if m <= 0:
             return 0.0
-        k = min(int(len(counts) ** 0.5), len(counts) - counts.count(1))
-        return sum(counts[:k]) / sum(counts)
+        c = (c + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        c ^= c >> np.uint64(29)
+        h = np.zeros(m, np.uint64)
+        for k in range(n):
+            h *= base
+            h += c[k : k + m]
+        h.sort()
+        at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
+        counts = np.diff(at)
+        k = min(int(len(counts) ** 0.5), int((counts > 1).sum()))
+        return float(np.sort(counts)[len(counts) - k :].sum()) / m if k else 0.0
 
     def run(x: pa.Array) -> pa.Array:
         return pa.array([None if s is None else of(s) for s in x.to_pylist()], pa.float64())

@@ -125,9 +125,16 @@ def contains_query(t: Column, query: str) -> Column:
     return F.coalesce(F.contains(F.lower(t), F.lower(F.lit(query.strip()))), F.lit(False))
 
 
+def uniform(key: Column, seed: int = 0) -> Column:
+    """A number in [0, 1) that depends on the key and seed alone (the first 52 bits of
+    their md5): a task that runs again draws the same, and so does any other engine."""
+    digits = F.substring(F.md5(F.concat_ws("|", key.cast("string"), F.lit(str(seed)))), 1, 13)
+    return F.conv(digits, 16, 10).cast("double") / float(1 << 52)
+
+
 def rounds(key: Column, most: int = 6, seed: int = 0) -> Column:
     """Follow-up rounds: 0 with probability 0.8, else 1..6 alike, at most `most`; by the key."""
-    u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 53)).cast("double") / float(1 << 53)
+    u = uniform(key, seed)
     return F.least(F.when(u < 0.8, 0).otherwise(F.least(F.floor((u - 0.8) / (0.2 / 6)) + 1, F.lit(6))), F.lit(most)).cast("int")
 
 

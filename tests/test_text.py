@@ -123,3 +123,47 @@ def test_packing_equals_a_loop(spark):
     for r in many:
         held.setdefault(r.shard, []).append(r.bytes)
     assert all(sum(v) <= 10 or len(v) == 1 for v in held.values()) and len(many) == 8
+
+
+def test_spaces_and_digits(spark):
+    from grainmill.functions import recipe as R
+
+    df = spark.createDataFrame([("\u00a0a\u1680b\u2009c\u202fd\u205fe\u3000f\ufeffg\u2007", "１２，"), (None, None)], "a string, b string")
+    got = df.select(R.normalise_whitespace(F.col("a")).alias("a"), R.normalise_punctuation(F.col("b")).alias("b")).collect()
+    assert tuple(got[0]) == ("a b c d e f g", "１２,") and tuple(got[1]) == (None, None)
+
+
+def test_repetition_equals_counting(spark):
+    import random
+    from collections import Counter
+
+    from grainmill.functions import recipe as R
+
+    rng = random.Random(3)
+    texts = ["", "a", "abc " * 40, "x" * 500] + [" ".join(rng.choice(("one", "two", "three", "😀")) for _ in range(rng.randrange(60))) for _ in range(40)]
+
+    def words(t, n=3):
+        w = t.lower().split()
+        c = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+        return sum(k for k in c.values() if k > 1) / max(1, sum(c.values()))
+
+    def characters(t, n=4):
+        c = sorted(Counter(t[i : i + n] for i in range(len(t) - n + 1)).values(), reverse=True)
+        k = min(int(len(c) ** 0.5), len(c) - c.count(1))
+        return sum(c[:k]) / max(1, sum(c))
+
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    for r in df.select("t", R.word_repetition(F.col("t"), 3).alias("w"), R.character_repetition(F.col("t"), 4).alias("c")).collect():
+        assert abs(r.w - words(r.t)) < 1e-12 and abs(r.c - characters(r.t)) < 1e-12
+
+
+def test_wide_spans_and_long_sections():
+    import time
+
+    from grainmill.functions import markdown as md
+
+    at = time.time()
+    table = md.table_to_markdown("<table><tr><td colspan=1000000000 rowspan=1000000000>a</td></tr><tr><td>b</td></tr></table>")
+    assert table.count("|") == 3 * 1002 + 1 or table.startswith("| a |")
+    assert "".join(md.heading_sections("line\n" * 400_000)) == "line\n" * 400_000
+    assert time.time() - at < 10
