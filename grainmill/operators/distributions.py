@@ -32,11 +32,13 @@ def row_distribution(meta: DataFrame, dim: str) -> DataFrame:
 
 
 def distributions(meta: DataFrame, dims: tuple[str, ...] = DIMENSIONS) -> DataFrame:
-    """(dim, value, tokens, n, share) of several dimensions in one pass, by GROUPING SETS."""
-    own = with_bin(meta).select(*dims, "token_count")
+    """(dim, value, tokens, n, share) of several dimensions in one pass. Rows are
+    added up to cells (combinations of values) first, with partial sums before the
+    shuffle; only cells are expanded by GROUPING SETS."""
+    own = with_bin(meta).groupBy(*dims).agg(F.sum("token_count").alias("tokens"), F.count("*").alias("n"))
     which = F.coalesce(*[F.when(F.grouping(d) == 0, F.lit(d)) for d in dims])
     value = F.coalesce(*[F.when(F.grouping(d) == 0, F.col(d)) for d in dims])
-    rows = own.groupingSets([[F.col(d)] for d in dims], *[F.col(d) for d in dims]).agg(which.alias("dim"), value.alias("value"), F.sum("token_count").alias("tokens"), F.count("*").alias("n"))
+    rows = own.groupingSets([[F.col(d)] for d in dims], *[F.col(d) for d in dims]).agg(which.alias("dim"), value.alias("value"), F.sum("tokens").alias("tokens"), F.sum("n").alias("n"))
     by = Window.partitionBy("dim")
     return rows.where("value is not null").select("dim", "value", "tokens", "n", (F.col("tokens") / F.sum("tokens").over(by)).alias("share"))
 

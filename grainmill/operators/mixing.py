@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainmill.functions.text import uniform
 from grainmill.operators.distributions import DIMENSIONS, distributions, with_bin
 
 Ratios = Mapping[str, Mapping[str, float]]
@@ -87,13 +88,15 @@ def solve(rows: list[dict], ratios: Ratios, total: float, variant: str = "priori
       within tolerance is left alone; 100 iterations, 0.5 %;
     * "accumulated": as frozen, but every dimension is fitted until each has
       been within tolerance at some iteration;
+    * "chunked": as accumulated, with plain's 50 iterations and 1 %, and no stop for
+      small changes: for corpora that are read in chunks, whose cells add up;
     * "priority": the shares of a sweep refer to the total at its beginning,
       factor within [0.7, 1.4] times a total factor within [0.8, 1.25 capped at
       1.2], dimensions in the order given; 100 iterations, 0.5 %.
     All but the first measure success after the weights are scaled to `total`."""
-    plain, stale = variant == "plain", variant == "priority"
-    iterations = iterations or (50 if plain else 100)
-    tolerance = tolerance or (0.01 if plain else 0.005)
+    plain, stale, chunked = variant == "plain", variant == "priority", variant == "chunked"
+    iterations = iterations or (50 if plain or chunked else 100)
+    tolerance = tolerance or (0.01 if plain or chunked else 0.005)
     t = np.array([float(r["tokens"] or 0) for r in rows])
     n = np.array([float(r["n"]) for r in rows])
     groups = _groups(rows, ratios, priority or list(ratios))
@@ -122,13 +125,13 @@ def solve(rows: list[dict], ratios: Ratios, total: float, variant: str = "priori
                 elif stale:
                     w[m] *= min(max(target / share, 0.7), 1.4) * pull
                 else:
-                    w[m] *= min(max(target / (share + (1e-8 if variant == "accumulated" else 0)), 0.5), 2.0)
+                    w[m] *= min(max(target / (share + (1e-8 if variant in ("accumulated", "chunked") else 0)), 0.5), 2.0)
             last[d] = worst
             if worst < tolerance:
                 met.add(d)
-        close = len(met) == len(groups) if variant == "accumulated" else all(e < tolerance for e in last.values())
+        close = len(met) == len(groups) if variant in ("accumulated", "chunked") else all(e < tolerance for e in last.values())
         change = float((n * np.abs(w - before) / (before + 1e-5)).sum() / n.sum()) if n.sum() else 0.0
-        if close or change < still:
+        if close or (change < still and not chunked):
             break
     if w @ t:
         w = w * (total / float(w @ t))
@@ -154,12 +157,6 @@ def weighted(meta: DataFrame, f: Fit, dims: Sequence[str]) -> DataFrame:
     return with_bin(meta).join(own, list(dims), "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
 
 
-def uniform(key: Column, seed: int = 0) -> Column:
-    """A number in [0, 1) that depends on the key and seed alone: a task that
-    runs again draws the same."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 53)).cast("double") / float(1 << 53)
-
-
 def sample(rows: DataFrame, total: float, key: str, seed: int = 0, top_up: str = "level") -> DataFrame:
     """Keeps a row with probability weight (at most 1). If under 95 % of `total`
     tokens come together, rows not taken are drawn again: "level" each with
@@ -208,8 +205,11 @@ def sweep(table: DataFrame, ratios: Ratios, total: float, priority: Sequence[str
 
 
 def shares(meta: DataFrame, dims: Sequence[str], by_rows: bool = False) -> dict[str, dict[str, float]]:
-    """Present shares of a few dimensions, on the driver."""
+    """Present shares of a few dimensions, on the driver. Raises on more than MAX_CELLS values."""
     out: dict[str, dict[str, float]] = {d: {} for d in dims}
-    for r in distributions(meta, tuple(dims)).limit(MAX_CELLS).collect():
+    rows = distributions(meta, tuple(dims)).limit(MAX_CELLS + 1).collect()
+    if len(rows) > MAX_CELLS:
+        raise ValueError(f"over {MAX_CELLS} values of {list(dims)}: one of them is no dimension")
+    for r in rows:
         out[r.dim][r.value] = float(r.n if by_rows else r.tokens or 0)
     return {d: {v: x / (sum(own.values()) or 1) for v, x in own.items()} for d, own in out.items()}

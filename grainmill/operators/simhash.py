@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.functions.text import let
+from grainmill.operators.components import components, ensure_checkpoint_dir
 
 BLOCKS = (11, 11, 11, 11, 10, 10)
 
@@ -25,11 +26,12 @@ def shingles(text: Column, window: int = 6) -> Column:
     of fewer words is one run."""
     words = F.filter(F.split(F.lower(F.regexp_replace(text, r"\p{P}", "")), r"\s+"), lambda w: w != "")
 
-    def runs(own: Column) -> Column:
-        last = F.greatest(F.size(own) - window, F.lit(0)) + 1
-        return F.when(F.size(own) > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(own, i, window))))
+    def runs(h: Column) -> Column:
+        """A word is hashed once, a run by its words' hashes."""
+        many = F.transform(F.sequence(F.lit(0), F.size(h) - window), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(window)]))
+        return F.when(F.size(h) >= window, many).when(F.size(h) > 0, F.array(F.xxhash64(h)))
 
-    return let(words, runs)
+    return let(words, lambda own: let(F.transform(own, lambda w: F.xxhash64(w)), runs))
 
 
 def _sum_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +65,9 @@ def _keys(h: Column) -> Column:
 def pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 6, most: int = 4) -> DataFrame:
     """(a, b) with a < b: ids whose hashes differ in at most `most` bits; of ids with
     equal hashes only the pairs with the least of them."""
-    least = hashes(docs, id_col, text_col, window).withColumn("rep", F.min("id").over(Window.partitionBy("h")))
+    ensure_checkpoint_dir(docs.sparkSession)
+    own = hashes(docs, id_col, text_col, window).checkpoint()  # three branches read it: texts are hashed once
+    least = own.withColumn("rep", F.min("id").over(Window.partitionBy("h")))
     same = least.where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     keyed = least.where("id = rep").select("id", "h", F.explode(_keys(F.col("h"))).alias("key"))
     x, y = keyed.toDF("a", "ha", "key"), keyed.toDF("b", "hb", "key")
@@ -73,7 +77,5 @@ def pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without those that an id of their component precedes; null ids stay."""
-    from grainmill.operators.components import components
-
     gone = components(pairs(docs, id_col, text_col, **how)).select(F.col("node").alias("__gone"))
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")

@@ -108,3 +108,16 @@ def test_empty_and_null(spark, meta):
     assert len(D.ordered_bins(none).collect()) == 5
     odd = spark.createDataFrame([(1, None, "a", "d", "en", None)], meta.schema)
     assert D.distribution(odd, "source").collect() == [] and M.cells(odd).count() == 1
+
+
+def test_shares_refuse_a_key_as_dimension(meta, monkeypatch):
+    monkeypatch.setattr(M, "MAX_CELLS", 2)
+    with pytest.raises(ValueError):
+        M.shares(meta, ["source", "language"])
+
+
+def test_weights_come_back_alike_by_shuffle(meta, monkeypatch):
+    f = M.fit(meta, RATIOS, 1e6)
+    small = sorted(map(str, M.weighted(meta, f, list(RATIOS)).collect()))
+    monkeypatch.setattr(M, "BROADCAST_CELLS", 0)
+    assert sorted(map(str, M.weighted(meta, f, list(RATIOS)).collect())) == small
