@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.functions.text import contains_query, inline_think, let, think_headings
+from grainmill.operators.components import ensure_checkpoint_dir
 
 MESSAGE = "struct<role: string, content: string, think: string, answer: string>"
 
@@ -58,6 +59,44 @@ def merge_by_first_query(items: DataFrame, key: Column, order: str, messages: st
     return merged.select("query", "first", "n_records", contents.alias("contents"))
 
 
+CUSTOM = ("query_source", "answer_source", "file_path", "source_chunk")
+
+
+def merge_labelling(items: DataFrame, order: str, messages: str = "messages", key: Column | None = None, prompt: str = "") -> DataFrame:
+    """(query, prompt, conversation, custom): labelling records of equal first user
+    query (or key) as one, by one shuffle on the query.
+
+    Assistants' think blocks become headed sections before contents are compared. The
+    record of least `order` gives the custom fields and all its turns that aren't
+    empty; later ones add turns whose content isn't there yet. A message's parent is
+    the one before it, through all records. Records without a query are left out."""
+    own = key if key is not None else first_query(F.col(messages))
+    missing = [c for c in CUSTOM if c not in items.columns]
+    rows = items.withColumns({c: F.lit("") for c in missing}).withColumn("__q", own).where(F.coalesce(F.col("__q"), F.lit("")) != "")
+    shown = lambda m: F.when(m.role == "assistant", think_headings(m.content)).otherwise(m.content)
+    turns = F.transform(
+        messages,
+        lambda m: F.struct(
+            shown(m).alias("content"),
+            F.when(m.role == "user", "send").otherwise("receive").alias("message_type"),
+            F.coalesce(F.when(m.role == "user", F.col("query_source")).otherwise(F.col("answer_source")), F.lit("")).alias("user_id"),
+        ),
+    )
+    rows = rows.select("__q", F.struct(F.col(order).alias("o"), F.filter(turns, lambda t: F.coalesce(t.content, F.lit("")) != "").alias("turns"), F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in CUSTOM]).alias("custom")).alias("r"))
+    merged = rows.groupBy(F.col("__q").alias("query")).agg(F.array_sort(F.collect_list("r")).alias("all"))
+    lead = F.get("all", F.lit(0))
+    merged = merged.select("query", lead.custom.alias("custom"), lead.turns.alias("head"), F.flatten(F.transform(F.slice("all", 2, F.size("all")), lambda r: r.turns)).alias("rest"))
+    # later turns: the first of each content that the leading record lacks
+    seen = F.transform("head", lambda t: t.content)
+    fresh = F.filter("rest", lambda t: ~F.array_contains(seen, t.content))
+    names = F.transform("fresh", lambda t: t.content)
+    fresh_once = F.filter("fresh", lambda t, i: F.array_position(names, t.content) == i + 1)
+    all_turns = merged.withColumn("fresh", fresh).withColumn("turns", F.concat("head", fresh_once))
+    ident = lambda i: F.substring(F.sha2(F.concat_ws("|", F.col("query"), i.cast("string")), 256), 1, 32)
+    chain = F.transform("turns", lambda t, i: F.struct(ident(i).alias("message_id"), t.content.alias("content"), t.message_type.alias("message_type"), t.user_id.alias("user_id"), F.when(i > 0, ident(i - 1)).alias("parent_id")))
+    return all_turns.select("query", F.lit(prompt).alias("prompt"), chain.alias("conversation"), "custom")
+
+
 def first_query(messages: Column) -> Column:
     return F.get(F.transform(F.filter(messages, lambda m: m.role == "user"), lambda m: m.content), F.lit(0))
 
@@ -81,10 +120,16 @@ def pair_turns(messages: Column, strict: bool = False) -> Column:
     return let(F.struct(side("user").alias("u"), side("assistant").alias("a")), zipped)
 
 
-def as_text(messages: Column) -> Column:
-    """Numbered questions and answers."""
-    line = lambda p, i: F.concat(F.lit("Question "), (i + 1).cast("string"), F.lit(": "), F.coalesce(p.question, F.lit("")), F.lit("\nAnswer "), (i + 1).cast("string"), F.lit(": "), F.coalesce(p.answer, F.lit("")))
-    return F.array_join(F.transform(pair_turns(messages, strict=True), line), "\n")
+def as_text(messages: Column, number: str = "Question", reply: str = "Answer", think: str = "Reasoning:", answer: str = "Final answer:") -> Column:
+    """Numbered question and answer blocks with the reasoning, of the messages at 2i
+    and 2i + 1 whose roles are user and assistant; the labels are parameters."""
+    n = F.floor(F.size(messages) / 2).cast("int")
+    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    pairs = F.transform(at, lambda i: F.struct((i + 1).cast("string").alias("n"), F.get(messages, i * 2).alias("u"), F.get(messages, i * 2 + 1).alias("a")))
+    own = F.filter(pairs, lambda p: (p.u.role == "user") & (p.a.role == "assistant"))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    block = lambda p: F.concat(F.lit(f"{number} "), p.n, F.lit(": "), text(p.u.content), F.lit(f"\n{reply} "), p.n, F.lit(f":\n{think}\n"), text(p.a.think), F.lit(f"\n{answer}\n"), text(F.coalesce(p.a.answer, p.a.content)))
+    return F.array_join(F.transform(own, block), "\n")
 
 
 def history(messages: Column) -> Column:
@@ -130,18 +175,30 @@ def search(rows: DataFrame, query: str, text: str = "text", deleted: DataFrame |
     return rows.where(contains_query(F.col(text), query)) if query.strip() else rows
 
 
+def _placed(rows: DataFrame, id_col: str, around: bool) -> DataFrame:
+    """Numbers and neighbours without sorting the table in one task: ranges are sorted
+    side by side, and the few ranges' counts and ends say what lies across their edges."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    parts = rows.sparkSession.sparkContext.defaultParallelism
+    own = rows.select(F.col(id_col).alias("i")).where("i is not null").repartitionByRange(parts, "i").withColumn("p", F.spark_partition_id())
+    own = own.checkpoint()  # range bounds are sampled: keep one run's
+    w, edge = Window.partitionBy("p").orderBy("i"), Window.orderBy("p")
+    whole = edge.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = own.groupBy("p").agg(F.count("*").alias("n"), F.min("i").alias("lo"), F.max("i").alias("hi"))
+    ends = ends.select("p", (F.sum("n").over(edge) - F.col("n")).alias("base"), F.lead("lo").over(edge).alias("after"), F.lag("hi").over(edge).alias("before"), F.min("lo").over(whole).alias("least"), F.max("hi").over(whole).alias("most"))
+    near = own.select("i", "p", F.row_number().over(w).alias("k"), F.lead("i").over(w).alias("next"), F.lag("i").over(w).alias("last")).join(F.broadcast(ends), "p")
+    last = (F.col("least"), F.col("most")) if around else (F.lit(None), F.lit(None))
+    return near.select(F.col("i").alias(id_col), (F.col("base") + F.col("k")).cast("bigint").alias("position"), F.coalesce("next", "after", last[0]).alias("next_id"), F.coalesce("last", "before", last[1]).alias("previous_id"))
+
+
 def neighbours(rows: DataFrame, id_col: str) -> DataFrame:
-    """(id, position, next_id, previous_id) through the surviving rows, around the ends."""
-    w = Window.orderBy(id_col)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    i = F.col(id_col)
-    return rows.select(i, F.row_number().over(w).cast("bigint").alias("position"), F.coalesce(F.lead(i).over(w), F.first(i).over(whole)).alias("next_id"), F.coalesce(F.lag(i).over(w), F.last(i).over(whole)).alias("previous_id"))
+    """(id, position, next_id, previous_id) through the surviving rows, around the ends; null ids are left out."""
+    return _placed(rows, id_col, True)
 
 
 def bounded_neighbours(rows: DataFrame, id_col: str) -> DataFrame:
     """As neighbours(), but stopping at the ends."""
-    w, i = Window.orderBy(id_col), F.col(id_col)
-    return rows.select(i, F.row_number().over(w).cast("bigint").alias("position"), F.lead(i, 1).over(w).alias("next_id"), F.lag(i, 1).over(w).alias("previous_id"))
+    return _placed(rows, id_col, False)
 
 
 def above_score(items: DataFrame, score: str = "score", over: float = 5) -> DataFrame:

@@ -37,11 +37,20 @@ def test_merge(spark):
     assert (r["query"], r["first"], r.n_records, r.contents) == ("q", "k0", 2, ["q", "a1", "a2"])
 
 
+def test_merge_labelling(spark):
+    df = items(spark, [("user", "q"), ("assistant", "<think>t</think>a"), ("assistant", "")], [("assistant", "orphan")], [("user", "q"), ("assistant", "## Reasoning\nt\n\n## Answer\na"), ("assistant", "new"), ("user", "more"), ("assistant", "new")])
+    (r,) = C.merge_labelling(df, "id", prompt="P").collect()
+    assert (r["query"], r.prompt) == ("q", "P") and r.custom.asDict() == {"query_source": "qs", "answer_source": "as", "file_path": "", "source_chunk": ""}
+    assert [(m.content, m.message_type, m.user_id) for m in r.conversation] == [("q", "send", "qs"), ("## Reasoning\nt\n\n## Answer\na", "receive", "as"), ("new", "receive", "as"), ("more", "send", "qs")]
+    assert [m.parent_id for m in r.conversation] == [None, *[m.message_id for m in r.conversation[:-1]]]
+
+
 def test_pairs(spark):
     talk = [("user", "q1"), ("user", "q2"), ("assistant", "a1"), ("assistant", "a2")]
     assert [tuple(p) for p in one(spark, C.pair_turns, *talk)] == [("q1", "a1"), ("q2", "a2")]
     assert one(spark, lambda m: C.pair_turns(m, strict=True), *talk) == []
-    assert one(spark, C.as_text, ("user", "q"), ("assistant", "a")) == "Question 1: q\nAnswer 1: a"
+    assert one(spark, C.as_text, ("user", "q"), ("assistant", "a")) == "Question 1: q\nAnswer 1:\nReasoning:\n\nFinal answer:\na"
+    assert one(spark, C.as_text, ("user", "q"), ("assistant", None, "t", "b"), ("user", "x"), ("user", "y"), ("user", "r"), ("assistant", None, None, "c")) == "Question 1: q\nAnswer 1:\nReasoning:\nt\nFinal answer:\nb\nQuestion 3: r\nAnswer 3:\nReasoning:\n\nFinal answer:\nc"
     assert one(spark, C.pair_turns) == [] and one(spark, C.as_text) == ""
     assert one(spark, C.as_markdown, ("user", "q"), ("assistant", "a"), ("user", "r")) == "## Question 1\n\nq\n\n## Answer 1\n\na\n\n## Question 2\n\nr"
     assert one(spark, C.history, ("user", "q"), ("assistant", None)) == "Q: q\nA: "
