@@ -5,8 +5,11 @@ was rejected is a table of its own. Detectors are functions of a column."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import signal
+import threading
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,3 +81,46 @@ def chunks(docs: DataFrame, text_col: str = "text", path_col: str = "file_path",
     sized = parts.withColumn("text_length", markdown.token_count(F.col("text"), count)).where(F.col("text_length") >= least)
     ident = F.substring(F.sha2(F.concat_ws("|", "file_path", F.col("pos").cast("string"), F.md5("text")), 256), 1, 32)
     return sized.select(ident.alias("id"), "text", "text_length", label_of(F.col("text"), detect).alias("language"), "file_path")
+
+
+class _Late(BaseException):
+    pass
+
+
+def guarded(docs: DataFrame, f: Callable[[str], str], text_col: str = "text", seconds: float = 300, out: str | None = None) -> DataFrame:
+    """docs with f of the text, and `status`: ok, null (a null text), timeout or error
+    with what was raised. A text for which f takes over `seconds` or fails is passed
+    through unchanged, so one bad document costs neither its task nor itself."""
+
+    def late(*_):
+        raise _Late
+
+    def one(t: str | None) -> tuple[str | None, str]:
+        if t is None:
+            return None, "null"
+        try:
+            if seconds and threading.current_thread() is threading.main_thread():
+                signal.setitimer(signal.ITIMER_REAL, seconds)
+            return f(t), "ok"
+        except _Late:
+            return t, "timeout"
+        except Exception as e:
+            return t, f"error: {type(e).__name__}: {e}"
+        finally:
+            if seconds and threading.current_thread() is threading.main_thread():
+                signal.setitimer(signal.ITIMER_REAL, 0)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        main = threading.current_thread() is threading.main_thread()
+        before = signal.signal(signal.SIGALRM, late) if main else None
+        try:
+            for x in batches:
+                made = [one(t) for t in x.to_pylist()]
+                yield pa.array([{"text": t, "status": s} for t, s in made], pa.struct([("text", pa.string()), ("status", pa.string())]))
+        finally:
+            if main:
+                signal.signal(signal.SIGALRM, before)
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    made = docs.withColumn("__g", F.arrow_udf(run, "struct<text: string, status: string>")(F.col(text_col)))
+    return made.withColumns({out or text_col: F.col("__g.text"), "status": F.col("__g.status")}).drop("__g")
