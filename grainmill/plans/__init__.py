@@ -46,5 +46,5 @@ def synthesise(chunks: DataFrame, factory: model_calls.Factory, prompts: dict, d
 
 
 def parquet_to_json(spark: SparkSession, path: str, out: str) -> None:
-    """Every parquet file under path as JSON lines, in a folder of its name."""
-    sinks.write_mirrored(readers.parquet(spark, path), out)
+    """Every parquet file under path as JSON lines, in a folder of its relative path."""
+    sinks.write_mirrored(readers.parquet(spark, path), out, root=path)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,22 +101,34 @@ def preview(lines: DataFrame, n: int = 3, width: int = 100) -> DataFrame:
     return lines.limit(n).select(F.substring("value", 1, width).alias("value"))
 
 
-def diagnose(path: str, suffix: str = "") -> dict:
-    """Whether a local path exists, is a folder, and how many names under it end in suffix."""
-    p = Path(path)
-    names = [x.name for x in p.rglob("*") if x.is_file() and x.name.endswith(suffix)] if p.is_dir() else []
-    return {"exists": p.exists(), "is_dir": p.is_dir(), "files": len(names)}
+def _files(spark: SparkSession, path: str) -> list[tuple[str, str]] | None:
+    """(path, path below `path`) of all files of a folder, or of a file, on any file system that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(p):
+        return None
+    top, out, found = system.getFileStatus(p).getPath().toString().rstrip("/"), [], system.listFiles(p, True)
+    while found.hasNext():
+        name = found.next().getPath().toString()
+        out.append((name, name[len(top) + 1 :]))
+    return sorted(out)
 
 
-def tree(path: str, ignore_dirs: Sequence[str] = (), ignore_files: Sequence[str] = ()) -> tuple[list[str], list[str]] | tuple[None, None]:
+def diagnose(spark: SparkSession, path: str, suffix: str = "") -> dict:
+    """Whether a path exists, is a folder, and how many names under it end in suffix."""
+    found = _files(spark, path)
+    own = [r for _, r in found or () if r]
+    return {"exists": found is not None, "is_dir": found is not None and (bool(own) or not found), "files": sum(r.endswith(suffix) for r in own)}
+
+
+def tree(spark: SparkSession, path: str, ignore_dirs: Sequence[str] = (), ignore_files: Sequence[str] = ()) -> tuple[list[str], list[str]] | tuple[None, None]:
     """(paths, names) of a file, or of a folder's files but for those to ignore."""
-    p = Path(path)
-    if not p.exists():
+    found = _files(spark, path)
+    if found is None:
         return None, None
-    if p.is_file():
-        return [str(p)], [p.name]
-    own = sorted(x for x in p.rglob("*") if x.is_file() and x.name not in ignore_files and not set(x.relative_to(p).parts[:-1]) & set(ignore_dirs))
-    return [str(x) for x in own], [x.name for x in own]
+    name = lambda p: p.rpartition("/")[2]
+    own = [p for p, r in found if not r or (name(p) not in ignore_files and not set(r.split("/")[:-1]) & set(ignore_dirs))]
+    return own, [name(p) for p in own]
 
 
 def models(spec: str) -> list[dict]:

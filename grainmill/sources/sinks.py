@@ -5,7 +5,7 @@ leaves nothing behind, and mode=overwrite clears shards of an earlier save."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.operators.conversations import as_markdown
@@ -19,12 +19,19 @@ def as_line(*columns: str | Column) -> Column:
 
 def write_shards(rows: DataFrame, out: str, cap: int, order: str, size: Column | None = None, exact: bool = False, mode: str = "overwrite") -> DataFrame:
     """Writes rows as JSON lines in folders shard=N of at most `cap` bytes each (one
-    row may exceed it) and returns (order, bytes, shard). Ids and sizes are packed;
-    the rows join their shard and are written sorted within it."""
-    plan = pack(rows, order, size if size is not None else line_bytes(*rows.columns), cap, exact=exact)
-    both = rows.select(F.col(order).alias("__order"), as_line(*rows.columns).alias("value")).join(plan.select(F.col(order).alias("__order"), "shard"), "__order")
-    both.repartition("shard").sortWithinPartitions("shard", "__order").select("shard", "value").write.mode(mode).partitionBy("shard").text(out)
-    return plan
+    row may exceed it) and returns (order, bytes, shard). Keys and sizes are packed;
+    the rows join their shard and are written sorted within it. A row's key is its
+    order, its line's digest and its number among equal lines, so each row, repeated
+    or of equal order, is written once."""
+    line = as_line(*rows.columns)
+    own = rows.select(F.col(order).alias("__order"), line.alias("value"), (size if size is not None else line_bytes(*rows.columns)).alias("__size"))
+    own = own.withColumn("__digest", F.md5("value"))
+    own = own.withColumn("__copy", F.row_number().over(Window.partitionBy("__order", "__digest").orderBy("__size")))
+    own = own.select(F.struct("__order", "__digest", "__copy").alias("__key"), "value", "__size")
+    plan = pack(own, "__key", F.col("__size"), cap, exact=exact)
+    both = own.select("__key", "value").join(plan.select("__key", "shard"), "__key")
+    both.repartition("shard").sortWithinPartitions("shard", "__key").select("shard", "value").write.mode(mode).partitionBy("shard").text(out)
+    return plan.select(F.col("__key.__order").alias(order), "bytes", "shard")
 
 
 def write_limited(rows: DataFrame, out: str, max_records: int, mode: str = "overwrite") -> None:
@@ -32,11 +39,18 @@ def write_limited(rows: DataFrame, out: str, max_records: int, mode: str = "over
     rows.write.mode(mode).option("maxRecordsPerFile", max_records).option("ignoreNullFields", "false").json(out)
 
 
-def write_mirrored(rows: DataFrame, out: str, file_col: str = "file_path", mode: str = "overwrite") -> None:
-    """JSON lines in a folder for each source file's name."""
-    name = F.regexp_replace(F.regexp_extract(file_col, r"([^/]+)$", 1), r"\.[^.]+$", "")
+def relative(path: Column, root: str = "") -> Column:
+    """A file's path below root, whatever the scheme; the whole path if it isn't there."""
+    bare = lambda c: F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*:/{0,2}(?=/)", "")
+    top = bare(F.lit(root.rstrip("/") + "/"))
+    return F.when(F.lit(bool(root)) & F.startswith(bare(path), top), F.substring(bare(path), F.length(top) + 1, F.length(path))).otherwise(bare(path))
+
+
+def write_mirrored(rows: DataFrame, out: str, file_col: str = "file_path", mode: str = "overwrite", root: str = "") -> None:
+    """JSON lines in a folder for each source file, named by its path below root
+    (with its suffix; Spark escapes the slashes), so files of equal name stay apart."""
     value = as_line(*[c for c in rows.columns if c != file_col])
-    rows.select(name.alias("src_file"), value.alias("value")).repartition("src_file").write.mode(mode).partitionBy("src_file").text(out)
+    rows.select(relative(F.col(file_col), root).alias("src_file"), value.alias("value")).repartition("src_file").write.mode(mode).partitionBy("src_file").text(out)
 
 
 def write_by_id(rows: DataFrame, out: str, id_col: str = "id", mode: str = "append") -> None:

@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from grainmill.operators.mixing import Ratios, row_probability, uniform
+from grainmill.functions.text import uniform
+from grainmill.operators.mixing import Ratios, row_probability
 from grainmill.sources.readers import typed
+from grainmill.sources.sinks import write_shards
 
 
 def json_lines(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -24,9 +26,9 @@ def json_lines(spark: SparkSession, path: str, files_per_trigger: int | None = N
     return r.load(path).select("value", F.col("_metadata.file_path").alias("file_path"))
 
 
-def sampled(lines: DataFrame, weights: Ratios, nested: bool = True, seed: int = 0) -> DataFrame:
+def sampled(lines: DataFrame, weights: Ratios, nested: bool = True, seed: int = 0, with_text: bool = True) -> DataFrame:
     """Valid rows, each kept with the product of its values' weights."""
-    rows = row_probability(typed(lines, nested), weights)
+    rows = row_probability(typed(lines, nested, with_text), weights)
     return rows.where(uniform(F.col("line_hash"), seed) < F.col("probability")).drop("probability")
 
 
@@ -40,3 +42,9 @@ def run(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint:
     idempotent for a number that comes again."""
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
+
+
+def export(stream: DataFrame, out: str, cap: int, order: str, checkpoint: str, **how) -> StreamingQuery:
+    """Sampled rows as size-bounded shards: a micro-batch writes its own folder
+    batch=N of shards, and writes it anew if its number comes again."""
+    return run(stream, lambda df, n: write_shards(df, f"{out}/batch={n}", cap, order, **how) and None, checkpoint)

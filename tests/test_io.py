@@ -39,8 +39,8 @@ def test_index(spark, corpus):
     assert r.line_hash == hashlib.md5((line(3) + "\n").encode()).hexdigest()
     # 40 good lines, five odd ones that are JSON (Infinity isn't), "12.7" and the tool's own output
     assert R.tolerant(spark, str(corpus / "in"), "id string").count() == 47
-    assert R.diagnose(str(corpus / "in"), ".jsonl")["files"] == 2
-    assert R.tree(str(corpus / "in"), ["sub"], ["d.txt"])[1] == ["a.jsonl", "c_F.jsonl"] and R.tree("/no/such") == (None, None)
+    assert R.diagnose(spark, str(corpus / "in"), ".jsonl")["files"] == 2
+    assert R.tree(spark, str(corpus / "in"), ["sub"], ["d.txt"])[1] == ["a.jsonl", "c_F.jsonl"] and R.tree(spark, "/no/such") == (None, None)
 
 
 def test_mix_files(spark, corpus):
@@ -64,8 +64,17 @@ def test_verified_texts(spark):
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([(k, "x" * k, None, "/p/f%d.parquet" % (k % 2)) for k in range(1, 8)], "id bigint, text string, note string, file_path string")
     S.write_mirrored(df, str(tmp_path / "m"))
-    assert {p.name for p in (tmp_path / "m").glob("src_file=*")} == {"src_file=f0", "src_file=f1"}
-    assert json.loads(next((tmp_path / "m/src_file=f0").glob("*.txt")).read_text().splitlines()[0]).keys() == {"id", "text", "note"}
+    assert {p.name for p in (tmp_path / "m").glob("src_file=*")} == {"src_file=%2Fp%2Ff0.parquet", "src_file=%2Fp%2Ff1.parquet"}
+    assert json.loads(next((tmp_path / "m/src_file=%2Fp%2Ff0.parquet").glob("*.txt")).read_text().splitlines()[0]).keys() == {"id", "text", "note"}
+    same = df.withColumn("file_path", F.when(F.col("id") % 2 == 0, "file:/r/a/x.parquet").otherwise("file:///r/b/x.parquet"))
+    S.write_mirrored(same, str(tmp_path / "mm"), root="/r/")
+    assert {p.name for p in (tmp_path / "mm").glob("src_file=*")} == {"src_file=a%2Fx.parquet", "src_file=b%2Fx.parquet"}
+    twice = spark.createDataFrame([("k", "same"), ("k", "same"), ("k", "same"), ("k", "other"), (None, "x")], "k string, text string")
+    for exact in (True, False):
+        plan = S.write_shards(twice, str(tmp_path / f"s{exact}"), 60, "k", exact=exact)
+        assert plan.count() == 5
+        lines = [x for p in (tmp_path / f"s{exact}").rglob("*.txt") for x in p.read_text().splitlines()]
+        assert sorted(lines) == sorted(json.dumps({"k": k, "text": t}, separators=(",", ":")) for k, t in [("k", "same")] * 3 + [("k", "other"), (None, "x")])
     S.write_limited(df, str(tmp_path / "l"), 2)
     assert R.dataset(spark, str(tmp_path / "l")).count() == 7
     df.drop("file_path").write.parquet(str(tmp_path / "p/q"))
@@ -109,15 +118,96 @@ def test_model_calls(spark):
     assert calls == [1, 1.5, 1, 2.5, 1, 4.5, 1]
 
 
-def test_dialogues(spark):
-    def factory():
-        return lambda m: ("q1\n\nq2" if m[-1]["content"].startswith("ASK") else f"<think>x</think>re: {m[-1]['content'][:20]}")
+def stub():
+    def client(m):
+        p = m[-1]["content"]
+        if "boom" in p:
+            raise RuntimeError("down")
+        if p.startswith("ASK"):
+            return "q1\n\nq2"
+        if p.startswith("QF"):
+            return '{"is_filter": true, "reason": "poor"}' if "q1" in p else "no object"
+        if p.startswith("AF"):
+            return '{"is_filter": true, "reason": "wrong"}' if "bad" in p else '{"is_filter": false}'
+        if p.startswith("QS"):
+            return '{"score": 3, "reason": "low"}' if "low" in p else '{"score": "8"}'
+        return f"<think>x</think>re: {p[:20]}"
+
+    return client
+
 
-    prompts = {"question": "ASK {n} {text}", "answer": "A {question}", "follow_up": "F {history}", "rewrite": "R {answer}"}
+PROMPTS = {"question": "ASK {n} {text}", "answer": "A {question}", "follow_up": "F {history}", "rewrite": "R {answer}", "question_filter": "QF {question}", "answer_filter": "AF {qa_pair}", "qa_score": "QS {qa_pair} {ref_paper}"}
+
+
+def test_dialogues(spark):
     items = spark.createDataFrame([("a", "some text", 10), ("b", "other", 5000)], "id string, text string, text_length int")
-    got = plans.synthesise(items, factory, prompts, done=spark.createDataFrame([("b",)], "id string")).collect()
+    got = plans.synthesise(items, stub, PROMPTS, done=spark.createDataFrame([("b",)], "id string")).collect()
     assert {(r.id, r.question_no) for r in got} == {("a", 0), ("a", 1)}
     assert all(m.role == ("user", "assistant")[k % 2] for r in got for k, m in enumerate(r.messages))
+    rows = L.dialogues(items, stub, PROMPTS).collect()
+    assert sorted({r.task for r in rows}) == ["dialogue", "max_filter", "max_question", "plus_answer"] and len(rows) == 16
+    by = {(r.id, r.question_no, r.task): r.messages for r in rows}
+    talk, asks, rewrites, plus = (by["a", 0, t] for t in ("dialogue", "max_question", "max_filter", "plus_answer"))
+    assert len(talk) == len(asks) == len(rewrites) and len(plus) == 2
+    assert asks[0].content == "ASK 1 some text" and asks[1].content == "q1\n\nq2"
+    assert rewrites[0].content == "R re: A q1" and rewrites[1].content == talk[1].think
+    assert plus[1].content == "<think>\nx\n</think>\n\nre: A q1"
+    failed = spark.createDataFrame([("c", "boom", 1)], "id string, text string, text_length int")
+    import grainmill.operators.model_calls as mc
+
+    keep, mc.time.sleep = mc.time.sleep, lambda s: None
+    try:
+        (r,) = L.dialogues(failed, stub, PROMPTS).collect()
+    finally:
+        mc.time.sleep = keep
+    assert r.task == "error" and "down" in r.error
+
+
+def test_distil(spark):
+    m = "array<struct<role: string, content: string>>"
+    items = spark.createDataFrame([("own", "t", 1, [("user", "mine"), ("assistant", "x"), ("user", "bad")]), ("asked", "t", 1, None), ("low", "low", 1, [("user", "z")])], f"id string, text string, text_length int, messages {m}")
+    got = {(r.id, r.question_no): r for r in L.distil(items, stub, PROMPTS, ("question_filter", "answer_filter", "qa_score"), messages_col="messages", multi_turn=False).collect()}
+    assert set(got) == {("own", 0), ("own", 1), ("asked", 0), ("low", 0)}
+    assert got["own", 0].task == "dialogue" and got["own", 0].score == 8 and got["own", 0].messages[0].content == "mine"
+    assert got["own", 1].task == "rejected" and "wrong" in got["own", 1].error
+    assert got["asked", 0].messages[0].content == "q2"
+    assert got["low", 0].task == "rejected" and got["low", 0].score == 3
+    plain = L.distil(items.where("id = 'asked'"), stub, {**PROMPTS, "question_filter": "QF q1 {question}"}, ("question_filter",), messages_col="messages", multi_turn=False).collect()
+    assert [r.messages[0].content for r in plain] == ["q1"] and plain[0].score == 10  # the first stays where none would
+
+
+def test_filtered(spark):
+    m = "array<struct<role: string, content: string, think: string, answer: string>>"
+    items = spark.createDataFrame([(k, "low" if k == "d" else "t", [("user", q, None, None), ("assistant", None, "th", "an")]) for k, q in (("a", "fine"), ("b", "q1"), ("c", "bad"), ("d", "x"))], f"id string, text string, messages {m}")
+    kept, rejects = L.filtered(items, stub, PROMPTS)
+    assert [(r.id, r.score) for r in kept.collect()] == [("a", 8.0)] and kept.columns == ["id", "text", "messages", "score"]
+    assert sorted((r.id, r.filter, r.reason) for r in rejects.collect()) == [("b", "question_filter", "poor"), ("c", "answer_filter", "wrong"), ("d", "qa_score", "low")]
+
+
+def test_guarded(spark):
+    from grainmill.operators.cleaning import guarded
+
+    def f(t):
+        if t == "slow":
+            import time
+
+            time.sleep(30)
+        if t == "bad":
+            raise ValueError("no")
+        return t.upper()
+
+    docs = spark.createDataFrame([(1, "ok"), (2, "slow"), (3, "bad"), (4, None), (5, "")], "id int, text string")
+    got = {r.id: (r.text, r.status) for r in guarded(docs, f, seconds=1).collect()}
+    assert got == {1: ("OK", "ok"), 2: ("slow", "timeout"), 3: ("bad", "error: ValueError: no"), 4: (None, "null"), 5: ("", "ok")}
+
+
+def test_stream_export(spark, corpus):
+    lines = streaming.json_lines(spark, str(corpus / "in/sub"))
+    rows = streaming.sampled(lines, {"category": {"a": 1.0, "b": 0.0}}).select("id", "line_hash")
+    out = str(corpus / "shards")
+    streaming.export(rows, out, 200, "id", str(corpus / "ck2")).awaitTermination(120)
+    got = spark.read.text(out)
+    assert {json.loads(r.value)["id"] for r in got.collect()} == {f"i{k}" for k in range(20, 40, 2)} | {"i94"}
 
 
 def test_stream_equals_batch(spark, corpus):
