@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from grainmill.functions import recipe as R
 from grainmill.functions import text as T
 from grainmill.functions.bins import LABELS, subclass_key, token_bin
-from grainmill.functions.markdown import heading_chunks, tables_to_markdown, trimmed_paper
+from grainmill.functions.markdown import tables_to_markdown, trimmed_paper
 from grainmill.operators import cleaning, conversations, mixing, model_calls, packing, simhash
 from grainmill.operators import distributions as D
 from grainmill.operators.recipe import FILTERS, condition
@@ -181,11 +181,54 @@ def _fit(variant: str) -> Query:
     return run
 
 
-for _v in ("plain", "frozen", "accumulated", "priority"):
-    query(None, f"ipf_{_v}")(_fit(_v))
+def _ipf_sql(variant: str, sweeps: int = 8) -> str:
+    """CTEs that unroll some sweeps of mixing.solve(); the last, ipf, has the weights. A
+    sweep behind the stop changes nothing, so it may be any number that reaches the stop."""
+    plain, stale, together = variant == "plain", variant == "priority", variant in ("accumulated", "chunked")
+    tol, still = (0.01 if plain or variant == "chunked" else 0.005), (1e-4 if plain else 1e-5)
+    keep = "language, category, tokens, n, before, whole, done, met_category, met_language, last_category, last_language"
+    init = f"{TOTAL} / sum(tokens) OVER ()" if stale else "CAST(1 AS DOUBLE)"
+    ctes = ["c0 AS MATERIALIZED (SELECT language, category, CAST(sum(token_count) AS BIGINT) AS tokens, count(*) AS n FROM m WHERE language IS NOT NULL AND category IS NOT NULL GROUP BY 1, 2)"]
+    ctes.append(f"x0 AS MATERIALIZED (SELECT *, {init} AS w, false AS done, false AS met_category, false AS met_language, CAST(0 AS DOUBLE) AS last_category, CAST(0 AS DOUBLE) AS last_language FROM c0)")
+    for k in range(1, sweeps + 1):
+        last = f"b{k}"
+        ctes.append(f"{last} AS MATERIALIZED (SELECT * EXCLUDE (w), w, w AS before, sum(w * tokens) OVER () AS whole, CAST(0 AS DOUBLE) AS worst FROM x{k - 1})")
+        for dim in PRIORITY:
+            for j, (v, x) in enumerate(TARGETS[dim].items()):
+                now, base = f"u{k}_{dim}_{j}", "whole" if stale else "sum(w * tokens) OVER ()"
+                limits = f"{x} / share" if plain else f"least(greatest({x} / share, 0.7), 1.4) * least(greatest({TOTAL} / whole, 0.8), 1.2)" if stale else f"least(greatest({x} / (share + {1e-8 if together else 0}), 0.5), 2.0)"
+                skip = "done" + (f" OR met_{dim}" if variant == "frozen" else "") + ("" if plain or x > 0 else " OR true")
+                ctes.append(f"s{now} AS MATERIALIZED (SELECT *, sum(CASE WHEN {dim} = '{v}' THEN w * tokens ELSE 0 END) OVER () / {base} AS share FROM {last})")
+                ctes.append(f"{now} AS MATERIALIZED (SELECT {keep}, {'greatest(worst, ' if j else '('}abs(share - {x})) AS worst, CASE WHEN {dim} = '{v}' AND share > 1e-5 AND NOT ({skip}) THEN w * {limits} ELSE w END AS w FROM s{now})")
+                last = now
+            out = f"e{k}_{dim}"
+            worst = f"CASE WHEN met_{dim} THEN 0 ELSE worst END" if variant == "frozen" else "worst"
+            ctes.append(f"{out} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN done THEN last_{dim} ELSE {worst} END AS last_{dim}, met_{dim} OR (NOT done AND worst < {tol}) AS met_{dim}) FROM {last})")
+            last = out
+        close = "met_category AND met_language" if together else f"last_category < {tol} AND last_language < {tol}"
+        stop = "" if variant == "chunked" else f" OR sum(n * abs(w - before) / (before + 1e-5)) OVER () / sum(n) OVER () < {still}"
+        ctes.append(f"x{k} AS MATERIALIZED (SELECT language, category, tokens, n, w, done OR ({close}){stop} AS done, met_category, met_language, last_category, last_language FROM {last})")
+    ctes.append(f"scaled AS MATERIALIZED (SELECT language, category, tokens, n, last_category, last_language, w * {TOTAL} / sum(w * tokens) OVER () AS weight FROM x{sweeps})")
+    errors = ", ".join(f"abs(sum(weight * tokens) FILTER ({dim} = '{v}') / sum(weight * tokens) - {x})" for dim, own in TARGETS.items() for v, x in own.items())
+    ok = f"last_category < {tol} AND last_language < {tol}" if plain else f"(SELECT greatest({errors}) FROM scaled) <= {tol}"
+    ctes.append(f"ipf AS MATERIALIZED (SELECT language, category, tokens, n, weight, {ok} AS ok FROM scaled)")
+    return ", " + ", ".join(ctes)
+
+
+for _v in ("plain", "frozen", "accumulated", "chunked", "priority"):
+    query(_META + _ipf_sql(_v) + " SELECT language, category, tokens, n, round(weight, 9) AS weight, ok FROM ipf", f"ipf_{_v}")(_fit(_v))
+
+
+def uniform_sql(key: str, seed: int = 0) -> str:
+    """functions.text.uniform in SQL."""
+    return f"(CAST(('0x' || substr(md5(CAST({key} AS VARCHAR) || '|{seed}'), 1, 13)) AS BIGINT) / 4503599627370496.0)"
 
 
-@query(None)
+@query(
+    _META + _ipf_sql("priority") + f", x AS (SELECT m.*, coalesce(weight, 0) AS weight, {uniform_sql('doc_id')} AS u, {uniform_sql('doc_id', 1)} AS u1 FROM m LEFT JOIN ipf USING (language, category)), "
+    "y AS (SELECT *, u < least(weight, 1) AS taken FROM x), z AS (SELECT coalesce(sum(token_count) FILTER (taken), 0) AS got, sum(token_count) FILTER (NOT taken) AS rest FROM y) "
+    f"SELECT doc_id, source, category, domain, language, token_count, token_bin FROM y, z WHERE taken OR (got < 0.95 * {TOTAL} AND u1 < least(({TOTAL} - got) / rest, 1) AND token_count > 0)"
+)
 def mix_sample(spark, d):
     own = D.with_bin(meta(spark, d))
     f = mixing.fit(own, TARGETS, TOTAL, PRIORITY)
@@ -336,16 +379,6 @@ def stat_word_repetition_filter(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(R.word_repetition(F.col("text")), 9).alias("out"))
 
 
-@query(None)
-def word_repetition_filter(spark, d):
-    return table(spark, d, "documents").where(condition("word_repetition_filter", F.col("text"))).select("doc_id")
-
-
-@query(None)
-def stat_character_repetition_filter(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.round(R.character_repetition(F.col("text")), 9).alias("out"))
-
-
 @query(r"SELECT doc_id, round(len(list_filter(ws, lambda w: w IN ('idiot', 'moron', 'scum'))) / greatest(len(ws), 1), 9) AS out FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS ws FROM documents)")
 def stat_flagged_words_filter(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(R.flagged_share(F.col("text"), ("idiot", "moron", "scum")), 9).alias("out"))
@@ -361,11 +394,6 @@ def simhash_dedup(spark, d):
     return simhash.deduplicate(table(spark, d, "documents")).select("doc_id")
 
 
-@query(None)
-def markdown_chunks(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(heading_chunks(F.concat(F.lit("# one\n"), F.col("text")))).alias("pos", "chunk"))
-
-
 @query("SELECT doc_id, '| a | ' || CAST(doc_id AS VARCHAR) || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| b |   |' AS out FROM documents")
 def table_to_markdown(spark, d):
     html = F.concat(F.lit("<table><tr><td>a</td><td>"), F.col("doc_id").cast("string"), F.lit("</td></tr><tr><td colspan=2>b</td></tr></table>"))
@@ -386,6 +414,13 @@ def _gathered(spark, d):
     return conversations.gather(table(spark, d, "conversations"))
 
 
+def _with_think(spark, d):
+    """The conversations, an assistant's text as a think part of 5 characters and an answer."""
+    a, none = lambda x: x.role == "assistant", F.lit(None).cast("string")
+    m = lambda x: F.struct(x.role.alias("role"), F.when(~a(x), x.content).alias("content"), F.when(a(x), F.substring(x.content, 1, 5)).otherwise(none).alias("think"), F.when(a(x), F.substring(x.content, F.lit(6), F.length(x.content))).alias("answer"))
+    return _gathered(spark, d).withColumn("messages", F.transform("messages", m))
+
+
 @query(_LIST + "SELECT conv_id, array_to_string(list_transform(messages, lambda m: (CASE WHEN m.role = 'user' THEN 'Q: ' ELSE 'A: ' END) || m.content), chr(10)) AS out FROM g")
 def history_text(spark, d):
     return _gathered(spark, d).select("conv_id", conversations.history(F.col("messages")).alias("out"))
@@ -424,37 +459,24 @@ def label_merge(spark, d):
     return conversations.merge_by_first_query(own, key, "conv_id").withColumn("contents", F.array_join("contents", "\x1f"))
 
 
-@query(None)
-def labelling_format(spark, d):
-    own = _gathered(spark, d).withColumns({"query_source": F.lit("q"), "answer_source": F.lit("a")})
-    return conversations.to_labelling(own, "conv_id").select("conv_id", "prompt", F.explode("conversation").alias("m")).select("conv_id", "prompt", "m.*")
-
-
 @query(_LIST + "SELECT conv_id FROM g WHERE len(list_filter(messages, lambda m: m.role = 'user')) > 0")
 def with_user_turn(spark, d):
     return conversations.without_user_turn(_gathered(spark, d)).select("conv_id")
 
 
-@query("SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INTEGER) AS pos, role, text AS content FROM conversations")
+@query("SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INTEGER) AS pos, role, CASE WHEN role = 'assistant' THEN '<think>' || chr(10) || substr(text, 1, 5) || chr(10) || '</think>' || chr(10) || chr(10) || substr(text, 6) ELSE text END AS content FROM conversations")
 def sharegpt_convert(spark, d):
-    null = F.lit(None).cast("string")
-    m = F.transform("messages", lambda x: F.struct(x.role.alias("role"), x.content.alias("content"), null.alias("think"), null.alias("answer")))
-    own = conversations.to_sharegpt(_gathered(spark, d).withColumn("messages", m))
+    own = conversations.to_sharegpt(_with_think(spark, d))
     return own.select("conv_id", F.posexplode("messages").alias("pos", "m")).select("conv_id", "pos", "m.role", "m.content")
 
 
 @query(
     "WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM conversations), "
-    "p AS (SELECT a.conv_id, row_number() OVER (PARTITION BY a.conv_id ORDER BY a.i) AS k, a.text AS q, b.text AS r FROM n a JOIN n b ON a.conv_id = b.conv_id AND b.i = a.i + 1 WHERE a.i % 2 = 0 AND a.role = 'user' AND b.role = 'assistant') "
-    "SELECT c.conv_id, coalesce((SELECT string_agg('Question ' || k || ': ' || q || chr(10) || 'Answer ' || k || ': ' || r, chr(10) ORDER BY k) FROM p WHERE p.conv_id = c.conv_id), '') AS out FROM (SELECT DISTINCT conv_id FROM conversations) c"
+    "p AS (SELECT a.conv_id, a.i // 2 + 1 AS k, a.text AS q, b.text AS r FROM n a JOIN n b ON a.conv_id = b.conv_id AND b.i = a.i + 1 WHERE a.i % 2 = 0 AND a.role = 'user' AND b.role = 'assistant') "
+    "SELECT c.conv_id, coalesce((SELECT string_agg('Question ' || k || ': ' || q || chr(10) || 'Answer ' || k || ':' || chr(10) || 'Reasoning:' || chr(10) || substr(r, 1, 5) || chr(10) || 'Final answer:' || chr(10) || substr(r, 6), chr(10) ORDER BY k) FROM p WHERE p.conv_id = c.conv_id), '') AS out FROM (SELECT DISTINCT conv_id FROM conversations) c"
 )
 def qa_text(spark, d):
-    return _gathered(spark, d).select("conv_id", conversations.as_text(F.col("messages")).alias("out"))
-
-
-@query(None)
-def conversation_markdown(spark, d):
-    return _gathered(spark, d).select("conv_id", conversations.as_markdown(F.col("messages")).alias("out"))
+    return _with_think(spark, d).select("conv_id", conversations.as_text(F.col("messages")).alias("out"))
 
 
 @query("SELECT doc_id FROM labels WHERE toxic IS DISTINCT FROM 1 OR doc_id % 11 = 0")
@@ -488,11 +510,6 @@ def token_chunks(spark, d):
     return cleaning.chunks(table(spark, d, "documents").withColumn("file_path", F.col("doc_id").cast("string")), least=50, most=400)
 
 
-@query(None)
-def follow_up_rounds(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.rounds(F.col("doc_id")).alias("rounds"), model_calls.endpoint(F.col("doc_id"), 3).alias("endpoint"))
-
-
 @query("SELECT event_type, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark, d):
     e = table(spark, d, "events")
@@ -502,3 +519,6 @@ def event_windows(spark, d):
 
 def entry(spark: SparkSession) -> DataFrame:
     return QUERIES["dist_source"](spark, "/root/testdata/sf0.001")
+
+
+from grainmill import file_queries  # noqa: E402, F401  registers its queries
