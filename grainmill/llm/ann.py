@@ -1,31 +1,34 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes.
 
 Every vector is a query and the result is its K nearest others by Euclidean
-distance. Vectors are assigned to the nearest of the centroids (one for TARGET
-vectors, Lloyd steps over all vectors). A vector's residual from its centroid is
-rotated by a fixed random orthogonal matrix and kept as its signs, packed to
-bits, with two scalars: its norm and the inner product of the unit residual o
-with its own code x. For a query's unit residual q,
+distance. Vectors belong to cells, of TARGET vectors or so, found in two levels:
+about sqrt(cells) coarse centroids by Lloyd steps over all vectors, then those of
+the cells within each coarse one, so a vector is compared with 2 sqrt(cells)
+centroids and not with all. A vector's residual from its cell's centroid is
+rotated by a fixed random orthogonal matrix and kept as its signs, packed to bits,
+with two scalars: its norm and the inner product of the unit residual o with its
+own code x. For a query's residual q,
 
     <o, q>  is estimated without bias by  <x, q> / <x, o>,
 
-with an error of at most ERROR * sqrt((1 - <x, o>^2) / (<x, o>^2 (D - 1)))
-but for a small probability (Gao and Long, "RaBitQ", 2024). <x, q> itself comes
-from the packed bits: the rotated query is quantised to QUERY_BITS bits with
-random rounding, and each bit plane costs an AND and a population count.
-
-Within a cluster the vectors whose lower bound of distance doesn't exceed the
-K-th least upper bound are reranked by true distance. A query first searches its
-own cluster, which bounds its K-th distance; then it visits each other cluster
-where a member may be nearer. That is decided by bounds that hold for any data:
-at distance d from a centroid whose members' residuals have norms of least to
-most, none lies nearer than d - most or least - d (triangle inequality); and
-none lies nearer than the plane between that centroid and the query's own, since
-every vector is with its nearest centroid. So no cluster that holds a neighbour
-is skipped; vectors without structure make a query visit nearly all clusters,
-well separated ones few. The best of all visits meet in one
-last aggregation. A cluster larger than BLOCK is split into blocks that are
-searched separately, so nothing is capped.
+with an error of at most ERROR * |q| * sqrt((1 - <x, o>^2) / (<x, o>^2 (D - 1)))
+but for a small probability (Gao and Long, "RaBitQ", 2024). The scalars of a code
+and the error go into two further columns beside its signs, so one matrix product
+of a block of codes, unpacked for the time of use, and a block of queries gives
+the lower bounds of all their distances. Only vectors whose bound doesn't exceed
+the query's K-th distance so far are reranked by true distance.
+
+Cells are written to the shared folder, a file each, and read by the tasks as they
+need them; queries are taken in the order of their cells. A query searches its own
+cell first, which bounds its K-th distance, then each other cell where a member may
+be nearer: none is, if the cell's members lie between `least` and `most` of its
+centroid and the query's distance from that is further off than its K-th distance
+(triangle inequality, for coarse cells first). That holds for any data, so no cell
+that holds a neighbour is skipped. Nothing is shuffled but the vectors themselves,
+once to write the cells and once to order the queries. On separated data a query
+visits few cells and the work grows like the table; vectors without structure, in
+many dimensions, have no cells to skip and the work grows with its square, at about
+6 ns a pair. Nothing is capped.
 
 Results for special cases:
 * null vectors, vectors with a null, NaN or infinite entry and vectors of
@@ -38,19 +41,23 @@ Results for special cases:
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm._common import keep_heap, materialise
+from grainmill.llm._common import keep_heap, materialise, scratch_path
 
-K, STEPS, TARGET, BLOCK = 10, 4, 4096, 16_384
-ERROR, QUERY_BITS, SEED = 1.9, 5, 20240527
-#: Relative slack of the bounds on clusters, for rounding.
-SLACK = 1e-6
+K, STEPS, TARGET = 10, 2, 4096
+ERROR, SEED = 1.9, 20240527
+#: Relative slack of the bounds, for rounding; queries and vectors that are compared at a time; bytes of cells that a worker remembers.
+SLACK, QUERIES, BLOCK, REMEMBERED = 1e-5, 512, 4096, 256 << 20
+#: Queries of a task.
+PER_TASK = 2048
 
 
 def rotation(d: int, seed: int = SEED) -> np.ndarray:
@@ -58,210 +65,300 @@ def rotation(d: int, seed: int = SEED) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def pack(signs: np.ndarray) -> np.ndarray:
-    """Rows of booleans as rows of 64-bit words."""
-    bits = np.packbits(signs, axis=1, bitorder="little")
-    return np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.uint64)
-
-
 class Codes:
-    """One-bit codes of the residuals (rows of x) and their correction scalars."""
+    """One-bit codes of the residuals (rows of x), packed, and their correction scalars."""
 
     def __init__(self, x: np.ndarray, turn: np.ndarray):
-        self.d = x.shape[1]
         y = x @ turn
+        self.d = x.shape[1]
         self.norm = np.linalg.norm(x, axis=1)
-        signs = y >= 0
-        self.bits = pack(signs)
-        self.ones = signs.sum(axis=1)
+        self.bits = np.packbits(y >= 0, axis=1)
         with np.errstate(invalid="ignore", divide="ignore"):
             self.own = np.where(self.norm > 0, np.abs(y).sum(axis=1) / (self.norm * np.sqrt(self.d)), 1.0)
-        self.error = ERROR * np.sqrt(np.maximum(0, 1 - self.own**2) / (self.own**2 * max(1, self.d - 1)))
-
-    def inner(self, q: np.ndarray) -> np.ndarray:
-        """Estimated <o, q> of every code (columns) for rotated unit queries (rows)."""
-        low, width = q.min(axis=1, keepdims=True), np.maximum(np.ptp(q, axis=1, keepdims=True), 1e-12)
-        levels = (1 << QUERY_BITS) - 1
-        dither = np.random.default_rng(SEED).random(q.shape[1])
-        u = np.minimum(np.floor((q - low) / width * levels + dither), levels).astype(np.uint8)
-        total = np.zeros((len(q), len(self.bits)), np.uint16 if self.d * levels < 1 << 16 else np.uint32)
-        for j in range(QUERY_BITS):
-            plane = pack((u >> j) & 1)
-            for w in range(self.bits.shape[1]):
-                total += np.bitwise_count(plane[:, w, None] & self.bits[None, :, w]) * total.dtype.type(1 << j)
-        step = (width / levels).astype(np.float32)
-        # 2 * (sum of q over the set bits) - sum of q, over sqrt(D) and <x, o>
-        out = total * (2 * step)
-        out += low.astype(np.float32) * (2 * self.ones).astype(np.float32)
-        out -= (step * u.sum(axis=1, keepdims=True) + self.d * low).astype(np.float32)
-        out *= (1 / (np.sqrt(self.d) * self.own)).astype(np.float32)
-        return out
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, centre: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query, neighbour, squared distance): the k nearest of a block's vectors x for each query."""
-    order = np.argsort(ids)
-    ids, x = ids[order], x[order]
-    turn = rotation(x.shape[1])
-    codes = Codes(x - centre, turn)
-    own_norm, error = codes.norm.astype(np.float32), codes.error.astype(np.float32)
-    for i in range(0, len(q), 128):
-        own, part = query_ids[i : i + 128], q[i : i + 128]
-        r = part - centre
-        norm = np.linalg.norm(r, axis=1, keepdims=True)
-        middle = codes.inner(r @ turn / np.maximum(norm, 1e-12))
-        scale = 2 * own_norm * norm.astype(np.float32)
-        middle *= -scale
-        middle += own_norm**2
-        middle += (norm**2).astype(np.float32)
-        scale *= error
-        upper = middle + scale
-        middle -= scale
-        at = np.searchsorted(ids, own)
-        at[at == len(ids)] = 0
-        itself = np.flatnonzero(ids[at] == own)
-        upper[itself, at[itself]] = middle[itself, at[itself]] = np.inf
-        near = min(k, upper.shape[1]) - 1
-        kth = np.partition(upper, near, axis=1)[:, near]
-        a, b = np.nonzero((middle <= kth[:, None]) & (middle < np.inf))
-        far = np.empty(len(a))
-        for c in range(0, len(a), 8192):  # true distances, a piece that fits the cache at a time
-            apart = x[b[c : c + 8192]]
-            apart -= part[a[c : c + 8192]]
-            np.einsum("ij,ij->i", apart, apart, out=far[c : c + 8192])
-        exact = np.full(middle.shape, np.inf)
-        exact[a, b] = far
-        best = far <= np.partition(exact, near, axis=1)[a, near]
-        a, b, far = a[best], b[best], far[best]
-        order = np.lexsort((ids[b], far, a))
-        a, b, far = a[order], b[order], far[order]
-        rank = np.arange(len(a)) - np.searchsorted(a, a)
-        top = rank < k
-        yield own[a[top]], ids[b[top]], far[top]
-
-
-def _vectors(table: pa.Table, name: str) -> np.ndarray:
-    v = table.column(name).combine_chunks()
+def spread(self_d: int, own: np.ndarray) -> np.ndarray:
+    """The bound of the estimate's error, for unit vectors."""
+    return ERROR * np.sqrt(np.maximum(0, 1 - own**2) / (own**2 * max(1, self_d - 1)))
+
+
+def columns(bits: np.ndarray, norm: np.ndarray, own: np.ndarray, d: int) -> np.ndarray:
+    """What, times [rotated residual of a query, 1, its norm], is the lower bound of a
+    squared distance less the query's squared norm: the codes' signs and scalars."""
+    out = np.empty((len(norm), d + 2), np.float32)
+    out[:, :d] = np.unpackbits(bits, axis=1, count=d)
+    out[:, :d] *= 2
+    out[:, :d] -= 1
+    out[:, :d] *= (-2 * norm / (np.sqrt(d) * own)).astype(np.float32)[:, None]
+    out[:, d] = norm**2
+    out[:, d + 1] = -2 * norm * spread(d, own)
+    return out
+
+
+@dataclass
+class Cell:
+    ids: np.ndarray
+    x: np.ndarray
+    matrix: np.ndarray
+
+    @property
+    def size(self) -> int:
+        return self.x.nbytes + self.matrix.nbytes + self.ids.nbytes
+
+
+class Best:
+    """The k nearest so far of some queries."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
+        self.ids, self.x, self.k = ids, x, k
+        self.far = np.full((len(ids), k), np.inf)
+        self.near = np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    @property
+    def kth(self) -> np.ndarray:
+        return self.far[:, -1]
+
+    def add(self, q: np.ndarray, ids: np.ndarray, far: np.ndarray) -> None:
+        """Neighbours ids at squared distances far of the queries q (their numbers)."""
+        own = np.unique(q)
+        a = np.concatenate((np.repeat(own, self.k), q))
+        b, f = np.concatenate((self.near[own].ravel(), ids)), np.concatenate((self.far[own].ravel(), far))
+        order = np.lexsort((b, f, a))
+        a, b, f = a[order], b[order], f[order]
+        top = np.searchsorted(a, own)[:, None] + np.arange(self.k)
+        self.near[own], self.far[own] = b[top], f[top]
+
+
+def search(cell: Cell, centre: np.ndarray, best: Best, which: np.ndarray, turn: np.ndarray, itself: bool) -> None:
+    """Looks among a cell's vectors for nearer ones of the queries `which`."""
+    for i in range(0, len(which), QUERIES):
+        q = which[i : i + QUERIES]
+        x = best.x[q]
+        r = x - centre
+        r2 = (r**2).sum(axis=1)
+        right = np.concatenate((r @ turn, np.ones((len(q), 1)), np.sqrt(r2)[:, None]), axis=1).astype(np.float32)
+        low = right @ cell.matrix.T
+        if itself:
+            at = np.minimum(np.searchsorted(cell.ids, best.ids[q]), len(cell.ids) - 1)
+            own = np.flatnonzero(cell.ids[at] == best.ids[q])
+            low[own, at[own]] = np.inf
+
+        def distances(a: np.ndarray, b: np.ndarray, x=x) -> np.ndarray:
+            far = np.empty(len(a))
+            for c in range(0, len(a), 8192):  # a piece that fits the cache at a time
+                apart = cell.x[b[c : c + 8192]] - x[a[c : c + 8192]]
+                np.einsum("ij,ij->i", apart, apart, out=far[c : c + 8192])
+            return far
+
+        kth = best.kth[q]
+        new = np.flatnonzero(kth == np.inf)
+        if len(new) and low.shape[1] > 4 * best.k:
+            # a first bound: the true distances of those that look nearest
+            some = np.argpartition(low[new], 4 * best.k, axis=1)[:, : 4 * best.k]
+            far = distances(np.repeat(new, some.shape[1]), some.ravel()).reshape(some.shape)
+            far[np.take_along_axis(low[new], some, axis=1) == np.inf] = np.inf
+            kth = kth.copy()
+            kth[new] = np.partition(far, best.k - 1, axis=1)[:, best.k - 1]
+        bound = kth - r2 + SLACK * (r2 + np.where(np.isfinite(kth), kth, 0))
+        a, b = np.nonzero((low <= bound.astype(np.float32)[:, None]) & (low < np.inf))
+        far = distances(a, b)
+        good = far <= kth[a]
+        if good.any():
+            best.add(q[a[good]], cell.ids[b[good]], far[good])
+
+
+def _vectors(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
+    v = batch.column(name)
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
     return v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
 
 
-def _assign(centres: np.ndarray):
-    """Each vector's nearest centroid and its distance from that."""
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    if len(centres) == 1:
+        return np.zeros(len(x), np.int64)
+    square, step = (centres**2).sum(axis=1), max(1, (1 << 22) // len(centres))
+    return np.concatenate([np.argmin(square - 2 * (x[i : i + step] @ centres.T), axis=1) for i in range(0, len(x), step)] or [np.zeros(0, np.int64)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        square = (centres**2).sum(axis=1)
-        for b in batches:
-            x = _vectors(pa.Table.from_batches([b]), "v")
-            own = np.concatenate([np.argmin(square - 2 * (x[i : i + 1024] @ centres.T), axis=1) for i in range(0, len(x), 1024)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.linalg.norm(x - centres[own], axis=1)), b.column(0), b.column(1)], names=["c", "r", "vec_id", "v"])
 
-    return run
+@dataclass
+class Cells:
+    """Coarse centroids; those of the cells, one coarse one's behind the other's; where each begins."""
 
+    coarse: np.ndarray
+    fine: np.ndarray
+    starts: np.ndarray
 
-def _visits(centres: np.ndarray, least: np.ndarray, most: np.ndarray):
-    """The other clusters in which a query (vec_id, v, c, kth) may find something nearer."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        square = (centres**2).sum(axis=1)
-        apart = np.sqrt(np.maximum(0, square[:, None] - 2 * centres @ centres.T + square))
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                b = batch.slice(i, 1024)
-                x, own, kth = _vectors(pa.Table.from_batches([b]), "v"), b.column(2).to_numpy(), b.column(3).to_numpy(zero_copy_only=False)
-                long = (x**2).sum(axis=1, keepdims=True)
-                d2 = np.maximum(0, square - 2 * (x @ centres.T) + long)
-                d = np.sqrt(d2)
-                with np.errstate(invalid="ignore", divide="ignore"):  # equal centroids have no plane between them
-                    plane = np.nan_to_num((d2 - d2[np.arange(len(x)), own][:, None]) / (2 * apart[own]), nan=0, posinf=0, neginf=0)
-                bound = np.maximum(plane, np.maximum(d - most, least - d))
-                go = bound <= np.where(np.isnan(kth), np.inf, kth)[:, None] + SLACK * (np.sqrt(long) + d)
-                go[np.arange(len(x)), own] = False
-                go[:, most < 0] = False
-                offsets = pa.array(np.concatenate(([0], np.cumsum(go.sum(axis=1)))).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(offsets, pa.array(np.nonzero(go)[1].astype(np.int32)))], names=["vec_id", "v", "visits"])
-
-    return run
+    def of(self, x: np.ndarray) -> np.ndarray:
+        s = nearest(x, self.coarse)
+        out = np.empty(len(x), np.int64)
+        for k in np.unique(s):
+            own = np.flatnonzero(s == k)
+            out[own] = self.starts[k] + nearest(x[own], self.fine[self.starts[k] : self.starts[k + 1]])
+        return out
 
 
-def _sums(centres: np.ndarray):
-    """Sums and counts by nearest centroid, one row a centroid and task."""
+def _sums(number, count: int, d: int):
+    """Sums and counts of vectors by the number that `number` gives them, one row for each and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(centres.shape), np.zeros(len(centres), np.int64)
-        square = (centres**2).sum(axis=1)
+        total, n = np.zeros((count, d)), np.zeros(count, np.int64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _vectors(pa.Table.from_batches([batch]), "v")
-            own = np.argmin(square - 2 * (x @ centres.T), axis=1)
-            np.add.at(total, own, x)
-            n += np.bincount(own, minlength=len(n))
+            if batch.num_rows:
+                x = _vectors(batch, "v")
+                own = number(x)
+                order = np.argsort(own, kind="stable")
+                some, first = np.unique(own[order], return_index=True)
+                total[some] += np.add.reduceat(x[order], first, axis=0)
+                n += np.bincount(own, minlength=count)
         some = np.flatnonzero(n)
-        d = centres.shape[1]
         offsets = pa.array(np.arange(len(some) + 1, dtype=np.int32) * d)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(total[some].ravel())), pa.array(n[some])], names=["c", "total", "n"])
 
     return run
 
 
-def centroids(vectors: DataFrame, count: int, steps: int = STEPS) -> np.ndarray:
-    """About `count` centroids after some Lloyd steps over all vectors, from
-    vectors of least hash. On the driver there is one float a centroid and
-    dimension: 16 MB for a billion vectors of 64."""
-    first = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(count).select("v").collect()
-    centres = np.array([r.v for r in first], np.float64)
+def _lloyd(vectors: DataFrame, number, centres: np.ndarray) -> np.ndarray:
+    """Each centroid as the mean of its vectors; one without any stays."""
+    d, out = centres.shape[1], centres.copy()
+    sums = vectors.select("v").mapInArrow(_sums(number, len(centres), d), "c int, total array<double>, n bigint")
+    for r in sums.groupBy("c").agg(F.array(*[F.sum(F.col("total")[k]) for k in range(d)]).alias("total"), F.sum("n").alias("n")).collect():
+        out[r.c] = np.array(r.total) / r.n
+    return out
+
+
+def train(vectors: DataFrame, count: int, steps: int = STEPS) -> Cells:
+    """About `count` cells from vectors of least hash, after some Lloyd steps over all
+    vectors on either level. The driver holds one float a cell and dimension: 125 MB
+    for a billion vectors of 64."""
+    rows = vectors.select(F.xxhash64("vec_id").alias("h"), "vec_id", "v").orderBy("h", "vec_id").limit(count).select("v").collect()
+    first = np.array([r.v for r in rows], np.float64)
+    coarse = first[: int(np.ceil(np.sqrt(len(first))))]
+    for _ in range(steps if len(coarse) > 1 else 0):
+        coarse = _lloyd(vectors, lambda x, c=coarse: nearest(x, c), coarse)
+    of = nearest(first, coarse)
+    fine = [first[of == k] if (of == k).any() else coarse[k : k + 1] for k in range(len(coarse))]
+    cells = Cells(coarse, np.concatenate(fine), np.concatenate(([0], np.cumsum([len(f) for f in fine]))))
     for _ in range(steps):
-        d = centres.shape[1]
-        sums = vectors.select("vec_id", "v").mapInArrow(_sums(centres), "c int, total array<double>, n bigint")
-        sums = sums.groupBy("c").agg(F.array(*[F.sum(F.col("total")[k]) for k in range(d)]).alias("total"), F.sum("n").alias("n")).collect()
-        for r in sums:
-            centres[r.c] = np.array(r.total) / r.n
-    return centres
+        cells = Cells(coarse, _lloyd(vectors, cells.of, cells.fine), cells.starts)
+    return cells
+
+
+def _assign(cells: Cells):
+    """Each vector's cell, its distance from that centroid and its code."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = rotation(cells.fine.shape[1])
+        for b in batches:
+            x = _vectors(b, "v")
+            c = cells.of(x)
+            code = Codes(x - cells.fine[c], turn)
+            bits = pa.array([r.tobytes() for r in code.bits], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), b.column(0), b.column(1), bits, pa.array(code.norm), pa.array(code.own)], names=["c", "vec_id", "v", "bits", "norm", "own"])
+
+    return run
 
 
-def _searcher(centres: np.ndarray, k: int):
-    def run(key: tuple, base: pa.Table, queries: pa.Table) -> pa.Table:
+_remembered: OrderedDict[tuple[str, int], list[Cell]] = OrderedDict()
+
+
+def _cell(path: str, c: int, d: int) -> Iterator[Cell]:
+    """A cell's vectors, BLOCK at a time; those read last are remembered."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    if (path, c) in _remembered:
+        _remembered.move_to_end((path, c))
+        yield from _remembered[path, c]
+        return
+    system, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    made, held = [], 0
+    for info in sorted(system.get_file_info(fs.FileSelector(f"{root}/c={c}")), key=lambda i: i.path):
+        if not info.path.endswith(".parquet"):
+            continue
+        with system.open_input_file(info.path) as source:
+            for b in pq.ParquetFile(source).iter_batches(BLOCK, columns=["vec_id", "v", "bits", "norm", "own"]):
+                bits = np.frombuffer(b"".join(b.column("bits").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                ids, norm, own = (b.column(k).to_numpy() for k in ("vec_id", "norm", "own"))
+                cell = Cell(ids, _vectors(b, "v").astype(np.float32), columns(bits, norm, own, d))
+                held += cell.size
+                if held <= REMEMBERED:
+                    made.append(cell)
+                yield cell
+    if held <= REMEMBERED:
+        _remembered[path, c] = made
+        while sum(x.size for own in _remembered.values() for x in own) > REMEMBERED:
+            _remembered.popitem(last=False)
+
+
+def _searcher(path: str, cells: Cells, least: np.ndarray, most: np.ndarray, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_heap()
-        got = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        if base.num_rows and queries.num_rows:
-            got += search_block(base.column("vec_id").to_numpy(), _vectors(base, "v"), queries.column("vec_id").to_numpy(), _vectors(queries, "v"), centres[key[0].as_py()], k)
-        a, b, far = (np.concatenate(x) for x in zip(*got))
-        return pa.table({"vec_id": a, "neighbour_id": b, "distance": np.sqrt(far)})
+        d = cells.fine.shape[1]
+        turn = rotation(d)
+        # how far from a coarse centroid its cells' members are at most
+        apart = [np.linalg.norm(cells.fine[a:b] - cells.coarse[s], axis=1) for s, (a, b) in enumerate(zip(cells.starts, cells.starts[1:]))]
+        reach = np.array([max((x + most[a + i] for i, x in enumerate(own) if most[a + i] >= 0), default=-np.inf) for own, a in zip(apart, cells.starts)])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c, best = batch.column(0).to_numpy(), Best(batch.column(1).to_numpy(), _vectors(batch, "v"), k)
+
+            def visit(j: int, which: np.ndarray, own: bool, best=best) -> None:
+                for cell in _cell(path, int(j), d):
+                    search(cell, cells.fine[j], best, which, turn, own)
+
+            for j in np.unique(c):
+                visit(j, np.flatnonzero(c == j), True)
+
+            def may(dist: np.ndarray, low: float, high: float, best=best) -> np.ndarray:
+                return np.maximum(dist - high, low - dist) <= np.sqrt(best.kth) * (1 + SLACK) + SLACK * (1 + dist)
+
+            to_coarse = _distances(best.x, cells.coarse)
+            for s in np.argsort(to_coarse.mean(axis=0)):
+                some = np.flatnonzero(may(to_coarse[:, s], -np.inf, reach[s]))
+                if not len(some):
+                    continue
+                a = cells.starts[s]
+                to_fine = _distances(best.x[some], cells.fine[a : cells.starts[s + 1]])
+                for i in np.argsort(to_fine.min(axis=0)):
+                    if most[j := a + i] >= 0:
+                        full = np.full(len(c), np.inf)
+                        full[some] = to_fine[:, i]
+                        which = np.flatnonzero((c != j) & np.isfinite(full) & may(full, least[j], most[j]))
+                        if len(which):
+                            visit(j, which, False)
+            n, rank = np.nonzero(np.isfinite(best.far))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(best.ids[n]), pa.array((rank + 1).astype(np.int32)), pa.array(best.near[n, rank]), pa.array(np.sqrt(best.far[n, rank]))], names=["vec_id", "rank", "neighbour_id", "distance"]
+            )
 
     return run
 
 
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, (x**2).sum(axis=1)[:, None] - 2 * (x @ centres.T) + (centres**2).sum(axis=1)))
+
+
 def neighbours(embeddings: DataFrame, k: int = K) -> DataFrame:
     """(vec_id, rank, neighbour_id, distance): the k nearest others of each vector."""
+    spark = embeddings.sparkSession
     v = F.col("embedding").cast("array<float>")
     sound = v.isNotNull() & F.col("vec_id").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     own = embeddings.where(sound & (F.size("embedding") > 0)).groupBy(F.col("vec_id").cast("bigint").alias("vec_id")).agg(F.min(v).alias("v"))
     own = materialise(own, "vectors")
     dims = {r.d: r.n for r in own.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
-    out = "vec_id bigint, neighbour_id bigint, distance double"
+    out = "vec_id bigint, rank int, neighbour_id bigint, distance double"
     if not dims:
-        return embeddings.sparkSession.createDataFrame([], "vec_id bigint, rank int, neighbour_id bigint, distance double")
+        return spark.createDataFrame([], out)
     d = max(dims, key=lambda x: (dims[x], x))
     own = own.where(F.size("v") == d)
-    centres = centroids(own, -(-dims[d] // TARGET))
-    base = own.mapInArrow(_assign(centres), "c int, r double, vec_id bigint, v array<float>")
-    base = materialise(base.withColumn("block", F.lit(0)), "assigned")
-    stats = base.groupBy("c").agg(F.min("r").alias("least"), F.max("r").alias("most"), F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).collect()
-    least, most, blocks = np.zeros(len(centres)), np.full(len(centres), -1.0), np.ones(len(centres), int)
-    for s in stats:
-        least[s.c], most[s.c], blocks[s.c] = s.least, s.most, s.blocks
-    many = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("c") + 1) if (blocks > 1).any() else F.lit(1)
-    base = base.select("c", F.pmod(F.xxhash64("vec_id"), many).cast("int").alias("block"), "vec_id", "v")
-
-    def search(asks: DataFrame) -> DataFrame:
-        asks = asks.select("c", F.explode(F.sequence(F.lit(0), many - 1)).alias("block"), F.col("vec_id").alias("q"), F.col("v").alias("w")).toDF("c", "block", "vec_id", "v")
-        return base.groupBy("c", "block").cogroup(asks.groupBy("c", "block")).applyInArrow(_searcher(centres, k), out)
-
-    near = materialise(search(base.select("c", "vec_id", "v").toDF("c", "vec_id", "v")), "near")
-    if len(centres) > 1:
-        kth = near.groupBy("vec_id").agg(F.sort_array(F.collect_list("distance")).alias("d")).select("vec_id", F.when(F.size("d") >= k, F.get("d", F.lit(k - 1))).alias("kth"))
-        asks = base.select("vec_id", "v", "c").join(kth, "vec_id", "left").select("vec_id", "v", "c", "kth")
-        asks = asks.mapInArrow(_visits(centres, least, most), "vec_id bigint, v array<float>, visits array<int>")
-        near = near.union(search(asks.select(F.explode("visits").alias("c"), "vec_id", "v")))
-    by = Window.partitionBy("vec_id").orderBy("distance", "neighbour_id")
-    return near.select("vec_id", F.row_number().over(by).alias("rank"), "neighbour_id", "distance").where(F.col("rank") <= k)
+    cells = train(own, -(-dims[d] // TARGET))
+    base = own.mapInArrow(_assign(cells), "c int, vec_id bigint, v array<float>, bits binary, norm double, own double")
+    path = scratch_path(spark, "cells")
+    base.repartition("c").sortWithinPartitions("c", "vec_id").write.option("compression", "zstd").partitionBy("c").parquet(path)
+    base = spark.read.schema("vec_id bigint, v array<float>, norm double, c int").parquet(path)
+    least, most = np.zeros(len(cells.fine)), np.full(len(cells.fine), -1.0)
+    for r in base.groupBy("c").agg(F.min("norm").alias("least"), F.max("norm").alias("most")).collect():
+        least[r.c], most[r.c] = r.least, r.most
+    asks = base.select("c", "vec_id", "v").repartitionByRange(-(-dims[d] // PER_TASK), "c", "vec_id").sortWithinPartitions("c", "vec_id")
+    return asks.mapInArrow(_searcher(path, cells, least, most, k), out)
