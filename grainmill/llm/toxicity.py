@@ -15,23 +15,30 @@ A clause ends at . ! ? ; : or a line's end. A clause without an insult or a
 threat verb scores 0 in this machine whatever else it says, so only clauses
 that hold one are run; an Aho-Corasick automaton finds them.
 
+Words are read through common disguises: a letter said three times or more
+("idiooot"), digits and signs for letters ("idi0t"), letters set apart by signs
+or spaces ("i.d.i.o.t"). What is so undone has the length it had, so positions
+stay. A word the lists don't know is read by its parts at apostrophes
+("l'imbécile", "idiot's").
+
 The word lists know only the words in them. Word stems of each language are
 learned besides from labelled texts (learn): beginnings of words that make far
 more of the words of toxic texts than of others. A word that begins with one is
 an insult to the grammar. Learning takes a sample of LEARN_ROWS labelled texts
 at most for each language and label, those of least hash.
 
-A document's score is the sum of its clauses' scores over what a text of its length may hold,
-
-    score = sum of clause scores / (BASE + PER_WORD * words),
-
-and it is toxic from a score of 1: a long text isn't toxic for one hard word.
+A document's score is that of its worst passage: the greatest sum of the clauses
+that lie within SPAN characters (a longer clause is a passage by itself), over
+ENOUGH. It is toxic from a score of 1. One threat or one insult aimed at the
+reader is enough; of bare words it takes several in a passage. What else the
+text holds, before or after, doesn't matter.
 
 Results for special cases:
 * null, empty or blank text: score 0, not toxic;
 * null doc_id and repeated rows: judged like any other row;
 * no labels, or fewer than LEAST toxic texts with a stem: no stem is learned;
 * a doc_id labelled both ways: not learned from; null lang: a language;
+* ties: a score of exactly 1 is toxic;
 * very long texts: judged whole; an empty table gives an empty result;
 * positions are those in the lower-case text;
 * other columns are not looked at.
@@ -51,13 +58,14 @@ from pyspark.sql import functions as F
 
 from grainmill.llm._common import broadcast_ids
 
-BASE, PER_WORD = 1.2, 0.006
+SPAN, ENOUGH = 600, 1.55
 
 _WORDS = {
-    "INS": """idiot idiots moron morons imbecile cretin dumbass loser losers scum clown clowns trash garbage vermin pathetic
-        worthless stupid disgusting dumb retard retarded asshole bastard bitch whore slut pig swine dickhead jackass scumbag filth
+    "INS": """idiot idiots idiotic moron morons moronic imbecile imbeciles cretin cretins dumbass dumbasses loser losers scum clown clowns
+        trash garbage vermin pathetic worthless stupid disgusting dumb retard retards retarded asshole assholes bastard bastards bitch
+        bitches whore whores slut sluts pig swine dickhead dickheads jackass scumbag scumbags filth fuck fucker fuckers fucking cunt cunts
         idioten trottel arschloch dummkopf abschaum versager wertlos erbärmlich widerlich schwachkopf
-        imbécile crétin connard connasse salaud abruti ordure minable débile dégoûtant
+        imbécile imbéciles crétin crétins connard connards connasse salaud abruti ordure minable débile dégoûtant
         idiota idiotas imbécil estúpido estúpida basura escoria inútil patético asqueroso cabrón gilipollas""",
     "THR": """kill murder hurt destroy stab shoot strangle beat smash hang burn töten umbringen erschießen vernichten verprügeln
         tuer frapper égorger brûler matar golpear destruir apuñalar""",
@@ -78,7 +86,11 @@ _DENIED, _REPORTED = 0.15, 0.35
 #: Learning: rows a language and label, and their characters; lengths of stems; a stem's least texts and share of the toxic ones, times as frequent, and log-likelihood ratio.
 LEARN_ROWS, LEARN_CHARS, LENGTHS = 1000, 20_000, range(3, 9)
 LEAST, SHARE, TIMES, EVIDENCE = 4, 0.05, 10, 15
+#: The part of a stem's words that a longer one must have to replace it; how many times as frequent a stem of full severity is.
+MOST, SURE = 0.75, 300
 
+#: Learned stems and their severity.
+Stems = tuple[tuple[str, float], ...]
 #: state -> symbol in -> (symbol out, weight, next state)
 Sequential = dict[object, dict[str, tuple[str, float, object]]]
 
@@ -170,10 +182,16 @@ def grammar() -> tuple[list[list[int]], list[list[float]], list[list[str]]]:
 
 
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+#: Where a disguise may be: a letter three times, a sign or digit among letters, letters set apart.
+_ODD = re.compile(r"([^\W\d_])\1\1|[^\W\d_][0-9@$*!|][^\W\d_]|(?<![^\W\d_])[^\W\d_](?:[.*_\- ][^\W\d_](?![^\W\d_])){3,}")
+_INNER, _EDGE = re.compile(r"[^\W]|[@$*!|]"), re.compile(r"[^\w@$*!|]")
+_LEET = str.maketrans("01345789@$!|", "oieastbgasil")
+_RUN = re.compile(r"(.)\1\1+")
 
 
-def stems_of(toxic_texts: list[str], others: list[str]) -> list[str]:
-    """Beginnings of words that tell toxic texts of a language from others; a text's equal words count once."""
+def stems_of(toxic_texts: list[str], others: list[str]) -> dict[str, float]:
+    """Beginnings of words that tell toxic texts of a language from others, and their
+    severity; a text's equal words count once."""
 
     def count(texts: list[str]) -> tuple[Counter, Counter, int]:
         words, within, total = Counter(), Counter(), 0
@@ -193,21 +211,24 @@ def stems_of(toxic_texts: list[str], others: list[str]) -> list[str]:
     toxic_texts = [t for t, _ in apart]
     (hot, within, n), (cold, _, m) = count(toxic_texts), count(others)
     if not m:
-        return []
+        return {}
     found = []
     for stem, k in hot.items():
         expected = (cold[stem] + 0.5) / m * n
         if within[stem] >= max(LEAST, SHARE * len(toxic_texts)) and k >= TIMES * expected and (evidence := k * math.log(k / expected) - k + expected) >= EVIDENCE:
             found.append((-evidence, -len(stem), stem))
-    out: list[str] = []
+    out: dict[str, float] = {}
     for _, _, stem in sorted(found):
-        if not any(stem.startswith(x) or x.startswith(stem) for x in out):
-            out.append(stem)
+        # as long a beginning as most of its words have
+        own = max((x for x in hot if x.startswith(stem) and hot[x] >= MOST * hot[stem]), key=lambda x: (len(x), hot[x], x))
+        if not any(own.startswith(x) or x.startswith(own) for x in out):
+            times = hot[own] * m / ((cold[own] + 0.5) * n)
+            out[own] = round(min(1.0, 0.6 + 0.4 * math.log(max(1.0, times / TIMES)) / math.log(SURE / TIMES)), 3)
     return out
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> tuple[str, ...]:
-    """The stems of all languages of the labelled documents."""
+def learn(docs: DataFrame, labels: DataFrame) -> Stems:
+    """The stems of all languages of the labelled documents, with their severity."""
     y = (
         labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
         .where("doc_id is not null and y in (0, 1)")
@@ -221,11 +242,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[str, ...]:
     texts: dict[str, tuple[list[str], list[str]]] = {}
     for lang, i, text in sorted({(r.lang or "", r.doc_id, r.text) for r in broadcast_ids(own, list(picked)).collect()} if picked else ()):
         texts.setdefault(lang, ([], []))[1 - picked[i]].append(text)
-    return tuple(sorted({x for a, b in texts.values() for x in stems_of(a, b)}))
+    out: dict[str, float] = {}
+    for a, b in texts.values():
+        for x, w in stems_of(a, b).items():
+            out[x] = max(w, out.get(x, 0.0))
+    return tuple(sorted(out.items()))
 
 
 @lru_cache(4)
-def _lexicon(stems: tuple[str, ...] = ()):
+def _lexicon(stems: Stems = ()):
     """Classes by word, the automaton of insults, threat verbs and stems, clause edges, stems and their lengths."""
     import ahocorasick
 
@@ -237,32 +262,74 @@ def _lexicon(stems: tuple[str, ...] = ()):
     for w, c in words.items():
         if CLASSES[c] in ("INS", "THR"):
             triggers.add_word(w)
-    for x in stems:
+    for x, _ in stems:
         triggers.add_word(x)
     triggers.make_automaton()
-    return words, triggers, re.compile(r"[.!?;:\n\r\u2028\u2029]"), frozenset(stems), sorted({len(x) for x in stems})
+    return words, triggers, re.compile(r"[.!?;:\n\r\u2028\u2029]"), dict(stems), sorted({len(x) for x, _ in stems}, reverse=True)
+
 
+def _undone(word: str, words: dict[str, int]) -> str | None:
+    """The insult or threat verb that a disguised word stands for."""
+    for w in (word, word.strip("!|*$@")):
+        for own in (w, _RUN.sub(r"\1\1", w), _RUN.sub(r"\1", w)):
+            for x in (own, own.translate(_LEET)):
+                if words.get(x) in (1, 2):
+                    return x
+    return None
 
-def clause_score(clause: str, stems: tuple[str, ...] = ()) -> tuple[float, str]:
+
+def plain(text: str, words: dict[str, int]) -> str:
+    """text, in lower case, with disguised words of the lists undone and filled up with spaces."""
+    parts, at = [], 0
+    for m in _ODD.finditer(text):
+        if m.start() < at:
+            continue
+        if m.group(1) is None and len(m.group()) > 3:
+            begin, end, word = m.start(), m.end(), m.group()[::2]
+        else:
+            begin = m.start()
+            while begin > at and _INNER.match(text[begin - 1]):
+                begin -= 1
+            edge = _EDGE.search(text, m.end())
+            end = edge.start() if edge else len(text)
+            word = text[begin:end]
+        known = _undone(word, words)
+        parts += [text[at:begin], known.ljust(end - begin) if known else text[begin:end]]
+        at = end
+    return "".join(parts) + text[at:] if parts else text
+
+
+def clause_score(clause: str, stems: Stems = ()) -> tuple[float, str]:
     """The score of a clause, and the labels of what matched in it."""
     words, _, _, begins, lengths = _lexicon(stems)
     nxt, weight, label = grammar()
     s, total, labels = 0, 0.0, []
+
+    def known(w: str) -> tuple[int, float]:
+        """Class and severity; a word of no list may begin with a stem."""
+        if c := words.get(w):
+            return c, _SEVERITY.get(w, 1.0)
+        stem = next((w[:n] for n in lengths if w[:n] in begins), None)
+        return (0, 1.0) if stem is None else (1, begins[stem])
+
+    own: list[tuple[int, float]] = []
     for w in _TOKEN.findall(clause.lower().replace("’", "'")):
-        c = words.get(w, 0)
-        if not c and any(w[:n] in begins for n in lengths):
-            c = 1
+        if (k := known(w))[0] or "'" not in w:
+            own.append(k)
+        else:
+            own += map(known, w.split("'"))
+    for c, hard in own:
         if weight[s][c]:
-            total += weight[s][c] * _SEVERITY.get(w, 1.0)
+            total += weight[s][c] * hard
             labels.append(label[s][c])
         s = nxt[s][c]
     return total, "+".join(labels)
 
 
-def clauses(text: str, stems: tuple[str, ...] = ()) -> list[tuple[int, int, str, float]]:
+def clauses(text: str, stems: Stems = ()) -> list[tuple[int, int, str, float]]:
     """(start, end, labels, score) of the clauses of text that match."""
-    _, triggers, edge, begins, _ = _lexicon(stems)
-    text, out, end = text.lower(), [], 0
+    words, triggers, edge, begins, _ = _lexicon(stems)
+    text, out, end = plain(text.lower(), words), [], 0
     for last, n in triggers.iter(text):
         start, stop = last + 1 - n, last + 1
         if start < end or text[start - 1 : start].isalnum() or text[stop : stop + 1].isalnum() and text[start:stop] not in begins:
@@ -277,17 +344,24 @@ def clauses(text: str, stems: tuple[str, ...] = ()) -> list[tuple[int, int, str,
     return out
 
 
-def judge(text: str | None, stems: tuple[str, ...] = ()) -> tuple[float, list[tuple[int, int, str, float]]]:
+def judge(text: str | None, stems: Stems = ()) -> tuple[float, list[tuple[int, int, str, float]]]:
     found = clauses(text, stems) if text else []
-    if not found:
-        return 0.0, found
-    return sum(c[3] for c in found) / (BASE + PER_WORD * len(text.split())), found
+    worst = held = 0.0
+    first = 0
+    for k, (_, stop, _, score) in enumerate(found):
+        held += score
+        while first < k and stop - found[first][0] > SPAN:
+            held -= found[first][3]
+            first += 1
+        held = score if first == k else held
+        worst = max(worst, held)
+    return worst / ENOUGH, found
 
 
 _SCHEMA = "doc_id bigint, score double, clauses array<struct<start: int, stop: int, labels: string, score: double>>"
 
 
-def _flag(stems: tuple[str, ...]):
+def _flag(stems: Stems):
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("labels", pa.string()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,11 +373,11 @@ def _flag(stems: tuple[str, ...]):
     return run
 
 
-def toxic(docs: DataFrame, stems: tuple[str, ...] = ()) -> DataFrame:
+def toxic(docs: DataFrame, stems: Stems = ()) -> DataFrame:
     """(doc_id, score, clauses) of the toxic documents, with their matched clauses."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_flag(stems), _SCHEMA)
 
 
-def keeper(stems: tuple[str, ...] = ()):
+def keeper(stems: Stems = ()):
     """For _common.keep_rows: texts that aren't toxic stay."""
     return lambda texts: [judge(t, stems)[0] < 1 for t in texts]
