@@ -1,17 +1,21 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Benchmark items and documents are compared in lower case with single spaces.
-An item is cut into segments of SEGMENT characters, half overlapping (the last
-one ends with the item); an item no longer than that is one segment. A
-document leaks an item if it holds a stretch within k edits of one of its
-segments, k = EDITS of the segment's length.
+An item is cut into segments of SEGMENT characters (about 13 words), half
+overlapping (the last one ends with the item); an item no longer than that is
+one segment. A document leaks an item if it holds a stretch within k edits of
+one of its segments, k = EDITS of the segment's length; so a verbatim quote of
+1.5 segments is always found.
 
 Such a stretch shares at least T = m + 1 - q * (k + 1) of the m + 1 - q q-grams
 of the segment, all of them within k + 1 neighbouring diagonals (document
 position - segment position). So every q-gram of every document is looked up,
 the hits are counted in bands of 2 (k + 1) diagonals that overlap by half, and
 only regions of a band that reaches T are verified, by banded alignment. The
-filter loses nothing; k is lowered for short segments so that T >= 1.
+filter loses nothing; k is lowered for short segments so that T >= 1. Equal
+segments of many items (a common prompt) are one segment in the index, and hits
+are expanded in pieces of at most about PIECE, so memory is bounded whatever the
+items share.
 
 q-grams are those of characters folded to a byte, eight of which make one
 machine word; equal characters fold to equal bytes, so folding only adds
@@ -23,7 +27,10 @@ fits, and one of usual size is one slice.
 
 Results for special cases:
 * null or blank text or item: nothing to match, no leak;
-* an item of fewer than q characters: a leak where it occurs exactly, as whole words;
+* an item of fewer than LEAST characters ("yes", "be"): no evidence of a leak
+  wherever it occurs, so it is left out; short_items() lists them;
+* very long texts: searched whole, by pieces that overlap;
+* ties: the least edits, then the first place, of all segments of an item;
 * repeated items and documents: each row is judged, equal result rows appear once;
 * null item_id: still counts for the pipeline's filter, with a null in the result;
 * a null doc_id can't be named in the result (the pipeline's filter does judge it);
@@ -32,7 +39,6 @@ Results for special cases:
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -43,10 +49,14 @@ from pyspark.sql import functions as F
 
 from grainmill.llm._common import keep_heap
 
-Q, SEGMENT, EDITS = 8, 120, 0.1
+Q, SEGMENT, EDITS = 8, 80, 0.1
+#: The shortest item whose occurrence is evidence, in characters.
+LEAST = 20
 #: Characters of the benchmark in one broadcast (about 60 MB of index), and of
 #: documents that are searched at a time (one, if it is longer).
 SLICE, TOGETHER = 1_000_000, 500_000
+#: Hits (a q-gram of the texts at a place of a segment) that are counted at a time, 40 bytes each.
+PIECE = 1_000_000
 _HASH, _BITS = np.uint64(0x9E3779B97F4A7C15), 22
 
 
@@ -72,14 +82,13 @@ class Index:
     """Segments of some benchmark items, and where each q-gram occurs in them."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
-        self.segments: list[tuple[int | None, str]] = []
-        self.short: list[tuple[int | None, str]] = []
+        own: dict[str, dict[int | None, bool]] = {}
         for item, text in sorted({(i, normal(t)) for i, t in items}, key=lambda x: (x[0] is None, x[0], x[1])):
-            if 0 < len(text) < Q:
-                self.short.append((item, text))
-            elif text:
-                starts = [*range(0, len(text) - SEGMENT, SEGMENT // 2), max(0, len(text) - SEGMENT)]
-                self.segments += [(item, text[s : s + SEGMENT]) for s in starts]
+            if len(text) >= LEAST:
+                for s in {*range(0, len(text) - SEGMENT, SEGMENT // 2), max(0, len(text) - SEGMENT)}:
+                    own.setdefault(text[s : s + SEGMENT], {})[item] = True
+        #: (items that hold it, segment)
+        self.segments: list[tuple[tuple[int | None, ...], str]] = [(tuple(i), s) for s, i in own.items()]
         length = np.array([len(s) for _, s in self.segments], np.int64)
         self.k = np.minimum((length * EDITS).astype(np.int64), length // Q - 1)
         self.need = length + 1 - Q * (self.k + 1)
@@ -102,6 +111,22 @@ class Index:
         same = self.gram[slot] == x
         at, slot = at[same], slot[same]
         n = self.bounds[slot + 1] - self.bounds[slot]
+        total, found, i = np.cumsum(n), [], 0
+        while i < len(at):
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PIECE, "right")))
+            # the next piece begins early enough to hold each stretch that this one cuts
+            if j < len(at):
+                j = max(j, int(np.searchsorted(at, at[i] + 4 * SEGMENT)))
+            found.append(self._bands(at[i:j], slot[i:j], n[i:j]))
+            if j >= len(at):
+                break
+            i = max(i + 1, int(np.searchsorted(at, at[j - 1] - 2 * SEGMENT)))
+        hit = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        seg = hit >> 36
+        return seg, (hit & ((1 << 36) - 1)) * (self.k[seg] + 1) - SEGMENT
+
+    def _bands(self, at: np.ndarray, slot: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Keys (segment, band) that reach the count among the q-grams at some places."""
         begin = np.cumsum(n) - n
         post = np.arange(int(n.sum())) - np.repeat(begin - self.bounds[slot], n)
         seg = self.seg[post].astype(np.int64)
@@ -113,9 +138,7 @@ class Index:
         both = count + np.where((after < len(key)) & (key[np.minimum(after, len(key) - 1)] == key + 1), count[np.minimum(after, len(key) - 1)], 0) if len(key) else count
         low = key[both >= self.need[key >> 36]] if len(key) else key
         alone = key[count >= self.need[key >> 36]] if len(key) else key
-        hit = np.union1d(low, alone)
-        seg = hit >> 36
-        return seg, (hit & ((1 << 36) - 1)) * (self.k[seg] + 1) - SEGMENT
+        return np.union1d(low, alone)
 
 
 def align(segment: str, region: str, k: int) -> tuple[int, int] | None:
@@ -193,13 +216,8 @@ def search(index: Index, texts: list[str]) -> Iterator[tuple[int, int | None, in
                 part = own[x : x + 512]
                 for (d, s, a, _), found in zip(part, align_many([index.segments[s][1] for _, s, _, _ in part], [r for *_, r in part], int(index.k[part[0][1]]))):
                     if found:
-                        item = index.segments[s][0]
-                        best[d, item] = min(best.get((d, item), (1 << 30, 0)), (found[0], a + found[1]))
-    for item, word in index.short:
-        own = re.compile(rf"(?<!\w){re.escape(word)}(?!\w)")
-        for d, t in enumerate(texts):
-            if m := own.search(t):
-                best[d, item] = min(best.get((d, item), (1 << 30, 0)), (0, m.end()))
+                        for item in index.segments[s][0]:
+                            best[d, item] = min(best.get((d, item), (1 << 30, 0)), (found[0], a + found[1]))
     for (d, item), (edits, end) in best.items():
         yield d, item, edits, end
 
@@ -235,6 +253,12 @@ def indexes(benchmark: DataFrame) -> list:
     return out
 
 
+def short_items(benchmark: DataFrame) -> DataFrame:
+    """The items that are too short to be searched for (see LEAST)."""
+    text = F.regexp_replace(F.trim(F.lower("text")), r"\s+", " ")
+    return benchmark.where((text != "") & (F.length(text) < LEAST))
+
+
 def _finder(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_heap()
