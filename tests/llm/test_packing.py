@@ -57,11 +57,14 @@ def test_rounds(spark, parts, monkeypatch):
 
 
 def test_special_cases(spark):
-    rows = [(1, None), (2, ""), (None, "abc"), (None, "abc"), (3, "x" * 500), (3, "x" * 500), (4, "é" * 30)]
+    rows = [(1, None), (2, ""), (None, "abc"), (None, "abc"), (3, "x" * 500), (3, "x" * 500), (4, "é" * 30)] + [(None, "n" * k) for k in range(40)]
     docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id bigint, text string, bin_id string")
     got = P.pack(docs, 100).collect()
     total = {}
     for r in got:
         total.setdefault((r.doc_id, r.copy), []).append(r.length)
-    assert {k: sum(v) for k, v in total.items()} == {(1, 0): 1, (2, 0): 1, (None, 0): 4, (None, 1): 4, (3, 0): 501, (3, 1): 501, (4, 0): 61}
+    assert {k: sum(v) for k, v in total.items() if k[0]} == {(1, 0): 1, (2, 0): 1, (3, 0): 501, (3, 1): 501, (4, 0): 61}
+    assert sorted(sum(v) for k, v in total.items() if not k[0]) == sorted([4, 4, *range(1, 41)])
+    odd = spark.createDataFrame([(1, -5), (2, None), (3, 7)], "doc_id bigint, n int")
+    assert {(r.doc_id, r.length) for r in P.pack(odd, 100, "n").collect()} == {(1, 0), (2, 0), (3, 7)}
     assert P.pack(docs.limit(0), 100).collect() == []
