@@ -16,23 +16,30 @@ store, so half-written ones are never read.
 The encoder is byte-pair encoding over the public pre-tokenisation pattern. A
 text without runs of white space is cut at its single spaces first, which that
 pattern does as well, so each distinct word is encoded once and then looked up.
+Long runs of white space, which would overflow the library's pattern matcher,
+are cut out first at the places where the pattern itself cuts. The vocabulary is
+read on the driver and sent to the executors.
 
 Results for special cases:
 * null or empty text: 0 tokens;
 * null doc_id and repeated rows: written like any other row;
-* very long texts: encoded whole; an empty table gives an empty store;
+* very long texts and runs of one character: encoded whole, to the same ids;
+* an empty table gives an empty store;
 * other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import base64
+import re
+import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grainmill.llm._common import materialise
@@ -41,23 +48,36 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words that an encoder remembers before it starts anew (about 120 bytes each).
 REMEMBERED = 400_000
-_encoders: dict[str, Encoder] = {}
+#: A run of the pattern's white space that is cut out beforehand.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2000,}")
+_encoders: dict[int, Encoder] = {}
 
 
 class Encoder(dict):
     """Encodes texts to the bytes of their ids; maps " word" to its bytes."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str | bytes):
         import tiktoken
 
-        lines = Path(vocabulary).read_bytes().splitlines()
+        lines = (vocabulary if isinstance(vocabulary, bytes) else Path(vocabulary).read_bytes()).splitlines()
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, lines))}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.size = max(ranks.values()) + 1
         self.dtype = np.dtype(np.uint16 if self.size <= 1 << 16 else np.uint32)
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), self.dtype).tobytes()
+        if len(text) < 2000 or not _LONG_SPACE.search(text):
+            return np.array(self.encoding.encode_ordinary(text), self.dtype).tobytes()
+        out, at = [], 0
+        for m in _LONG_SPACE.finditer(text):
+            # the last space of a run goes with what follows it
+            cut = m.end() - (m.end() < len(text))
+            out += self.encoding.encode_ordinary(text[at : m.start()]) + self._run(m.group()[: cut - m.start()])
+            at = cut
+        return np.array(out + self.encoding.encode_ordinary(text[at:]), self.dtype).tobytes()
+
+    def _run(self, space: str) -> list[int]:
+        return self.encoding._encode_single_piece(space)
 
     def __missing__(self, word: str) -> bytes:
         if not word or word[0].isspace() or word[-1].isspace():
@@ -80,11 +100,18 @@ class Encoder(dict):
         return self.ids(first)
 
 
-def encoder(vocabulary: str) -> Encoder:
-    """The encoder of this process."""
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = Encoder(vocabulary)
-    return _encoders[vocabulary]
+def shipped(spark: SparkSession, vocabulary: str) -> Broadcast:
+    """The vocabulary file's bytes (about 1 MB), for all executors."""
+    return spark.sparkContext.broadcast(Path(vocabulary).read_bytes())
+
+
+def encoder(vocabulary: str | bytes) -> Encoder:
+    """The encoder of this process for a vocabulary (its bytes or path)."""
+    if isinstance(vocabulary, str):
+        vocabulary = Path(vocabulary).read_bytes()
+    if (key := zlib.crc32(vocabulary)) not in _encoders:
+        _encoders[key] = Encoder(vocabulary)
+    return _encoders[key]
 
 
 def _open(uri: str):
@@ -97,11 +124,11 @@ def _open(uri: str):
 _ROWS = "doc_id bigint, part int, file string, first bigint, n_tokens bigint"
 
 
-def _writer(out: str, vocabulary: str):
+def _writer(out: str, vocabulary: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, context = encoder(vocabulary), TaskContext.get()
+        own, context = encoder(vocabulary.value), TaskContext.get()
         part, name = context.partitionId(), f"part-{context.partitionId():06d}-{context.taskAttemptId()}.bin"
         system, path = _open(f"{out}/{name}")
         system.create_dir(path.rpartition("/")[0])
@@ -140,7 +167,7 @@ def write_tokens(docs: DataFrame, out: str, vocabulary: str = VOCABULARY) -> Dat
     document's partition, file, place in it, length and place in the store.
     The ids are written by this call, the offsets as the result is computed."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = materialise(docs.mapInArrow(_writer(out, vocabulary), _ROWS), "tokens")
+    rows = materialise(docs.mapInArrow(_writer(out, shipped(docs.sparkSession, vocabulary)), _ROWS), "tokens")
     # one row a partition: a few MB even for a million partitions
     bases = rows.groupBy("part").agg(F.sum("n_tokens").alias("own")).select("part", (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("base"))
     placed = rows.join(bases, "part").select("doc_id", "part", "file", "first", "n_tokens", (F.col("base") + F.col("first")).alias("token_start"))
