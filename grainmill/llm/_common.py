@@ -31,10 +31,14 @@ _own_root: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder of the session, from spark.checkpoint.dir; where that is
-    unset (a local test session) a temporary folder of this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """Shared folder of the session, from spark.checkpoint.dir, else the context's
+    checkpoint folder; where both are unset, a local session (a test) has a
+    temporary folder of this machine, and a cluster has an error."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own_root:
             _own_root.append("file://" + tempfile.mkdtemp(prefix="grainmill-"))
         root = _own_root[0]
@@ -75,12 +79,13 @@ def broadcast_ids(df: DataFrame, ids: list[int]) -> DataFrame:
 
 def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
     """The rows of df, all columns, for which the function that make() gives says
-    true of the column's value; make() runs once a task, on its executor."""
-    at = df.columns.index(column)
+    true of the column's value; make() runs once a task, on its executor. Only
+    that column goes to Python and only booleans come back."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         keep = make()
-        for batch in batches:
-            yield batch.filter(pa.array(keep(batch.column(at).to_pylist()), pa.bool_()))
+        for x in batches:
+            yield pa.array(keep(x.to_pylist()), pa.bool_())
 
-    return df.mapInArrow(run, df.schema)
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return df.where(F.arrow_udf(run, "boolean")(F.col(f"`{column}`")))
