@@ -173,21 +173,33 @@ def choose_model(configs: Sequence[dict], kind: str, pick: int = 0) -> dict:
 
 def byte_offsets(spark: SparkSession, path: str) -> DataFrame:
     """(file_path, offset, line_hash): where each line of the .jsonl files begins. A
-    file is one task's work here; line_hash alone is the better pointer."""
+    file is one task's work here, read as a stream of lines; line_hash alone is the
+    better pointer."""
     import hashlib
+    import io
+    import re
     from collections.abc import Iterator
 
     import pyarrow as pa
 
+    def batch(name: str, rows: list[tuple[int, str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["file_path", "offset", "line_hash"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                lines, at, starts = data.splitlines(keepends=True), 0, []
-                for x in lines:
-                    starts.append(at)
-                    at += len(x)
-                hashes = [hashlib.md5(x.rstrip(b"\r\n") + b"\n").hexdigest() for x in lines]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(lines), pa.string()), pa.array(starts, pa.int64()), pa.array(hashes, pa.string())], names=["file_path", "offset", "line_hash"])
+            for name in b.column(0).to_pylist():
+                system, own = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                with io.BufferedReader(system.open_input_stream(own, compression=None), 1 << 20) as source:
+                    at, rows = 0, []
+                    for line in source:
+                        rows.append((at, hashlib.md5(line.rstrip(b"\r\n") + b"\n").hexdigest()))
+                        at += len(line)
+                        if len(rows) == 10_000:
+                            yield batch(name, rows)
+                            rows = []
+                    yield batch(name, rows)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[jJ][sS][oO][nN][lL]").load(path)
-    return files.select("path", "content").mapInArrow(run, "file_path string, offset bigint, line_hash string")
+    return files.select("path").mapInArrow(run, "file_path string, offset bigint, line_hash string")

@@ -43,3 +43,18 @@ def test_others_run(spark, name):
 
 def test_entry(spark):
     assert Q.entry(spark).count() > 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name, columns", [("dist_source", "source"), ("per_source_progress", "source"), ("distinct_languages", "lang"), ("corpus_summary", "lang")])
+def test_texts_are_not_read_where_they_are_not_needed(spark, name, columns):
+    read = [x for x in plan(Q.QUERIES[name](spark, SF)).split("ReadSchema: ")[1:] if columns in x.split(">")[0]]
+    assert read and all("text:" not in x.split(">")[0] for x in read)
+
+
+def test_filters_reach_the_scan(spark):
+    scans = plan(Q.QUERIES["corpus_summary"](spark, SF)).split("PushedFilters: ")[1:]
+    assert any("EqualTo(lang,en)" in x.split("]")[0] for x in scans)
