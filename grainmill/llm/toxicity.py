@@ -52,6 +52,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -182,8 +183,10 @@ def grammar() -> tuple[list[list[int]], list[list[float]], list[list[str]]]:
 
 
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-#: Where a disguise may be: a letter three times, a sign or digit among letters, letters set apart.
-_ODD = re.compile(r"([^\W\d_])\1\1|[^\W\d_][0-9@$*!|][^\W\d_]|(?<![^\W\d_])[^\W\d_](?:[.*_\- ][^\W\d_](?![^\W\d_])){3,}")
+#: Where a disguise may be: a digit or sign among letters, letters set apart (a quick form and the whole one).
+_SIGN = re.compile(r"[0-9@$*!|](?<=[^\W\d_].)(?=[^\W\d_])")
+_APART = re.compile(r"[.*_ -]\w[.*_ -]\w[.*_ -]")
+_SPELLED = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[.*_ -][^\W\d_](?![^\W\d_])){3,}")
 _INNER, _EDGE = re.compile(r"[^\W]|[@$*!|]"), re.compile(r"[^\w@$*!|]")
 _LEET = str.maketrans("01345789@$!|", "oieastbgasil")
 _RUN = re.compile(r"(.)\1\1+")
@@ -278,19 +281,34 @@ def _undone(word: str, words: dict[str, int]) -> str | None:
     return None
 
 
+def _odd(text: str) -> list[tuple[int, bool]]:
+    """Places of text, in lower case, where a disguise may be, and whether letters are set apart there."""
+    found = [(m.start(), False) for m in _SIGN.finditer(text)]
+    found += [(m.start() - 1, True) for m in _APART.finditer(f" {text} ")]
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    same = c[1:] == c[:-1]
+    last = c[2:]
+    runs = np.flatnonzero(same[1:] & same[:-1] & ((last >= 97) & (last <= 122) | (last >= 0xB5)))
+    found += [(k, False) for k in runs[np.diff(runs, prepend=-2) > 1].tolist()]  # a letter three times and more
+    return sorted(found)
+
+
 def plain(text: str, words: dict[str, int]) -> str:
     """text, in lower case, with disguised words of the lists undone and filled up with spaces."""
     parts, at = [], 0
-    for m in _ODD.finditer(text):
-        if m.start() < at:
+    for place, apart in _odd(text):
+        if place < at and not apart:
             continue
-        if m.group(1) is None and len(m.group()) > 3:
+        if apart:
+            m = next((m for k in (place - 1, place, place + 1) if k >= at and (m := _SPELLED.match(text, k))), None)
+            if not m:
+                continue
             begin, end, word = m.start(), m.end(), m.group()[::2]
         else:
-            begin = m.start()
+            begin = place
             while begin > at and _INNER.match(text[begin - 1]):
                 begin -= 1
-            edge = _EDGE.search(text, m.end())
+            edge = _EDGE.search(text, place)
             end = edge.start() if edge else len(text)
             word = text[begin:end]
         known = _undone(word, words)
