@@ -47,12 +47,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.llm._common import keep_heap, materialise, scratch_path
 
-K, STEPS, TARGET = 10, 2, 4096
+K, STEPS, TARGET = 10, 2, 1024
 ERROR, SEED = 1.9, 20240527
 #: Relative slack of the bounds, for rounding; queries and vectors that are compared at a time; bytes of cells that a worker remembers.
 SLACK, QUERIES, BLOCK, REMEMBERED = 1e-5, 512, 4096, 256 << 20
@@ -176,6 +177,7 @@ def _vectors(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     if len(centres) == 1:
         return np.zeros(len(x), np.int64)
+    centres = centres.astype(np.float64)
     square, step = (centres**2).sum(axis=1), max(1, (1 << 22) // len(centres))
     return np.concatenate([np.argmin(square - 2 * (x[i : i + step] @ centres.T), axis=1) for i in range(0, len(x), step)] or [np.zeros(0, np.int64)])
 
@@ -197,15 +199,17 @@ class Cells:
         return out
 
 
-def _sums(number, count: int, d: int):
-    """Sums and counts of vectors by the number that `number` gives them, one row for each and task."""
+def _sums(cells: Broadcast, coarse: bool):
+    """Sums and counts of vectors by coarse centroid or by cell, one row for each and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = cells.value
+        count, d = (c.coarse if coarse else c.fine).shape
         total, n = np.zeros((count, d)), np.zeros(count, np.int64)
         for batch in batches:
             if batch.num_rows:
                 x = _vectors(batch, "v")
-                own = number(x)
+                own = nearest(x, c.coarse) if coarse else c.of(x)
                 order = np.argsort(own, kind="stable")
                 some, first = np.unique(own[order], return_index=True)
                 total[some] += np.add.reduceat(x[order], first, axis=0)
@@ -217,36 +221,39 @@ def _sums(number, count: int, d: int):
     return run
 
 
-def _lloyd(vectors: DataFrame, number, centres: np.ndarray) -> np.ndarray:
-    """Each centroid as the mean of its vectors; one without any stays."""
-    d, out = centres.shape[1], centres.copy()
-    sums = vectors.select("v").mapInArrow(_sums(number, len(centres), d), "c int, total array<double>, n bigint")
+def _lloyd(vectors: DataFrame, cells: Cells, coarse: bool) -> np.ndarray:
+    """Each centroid of a level as the mean of its vectors; one without any stays."""
+    out = (cells.coarse if coarse else cells.fine).copy()
+    d, sent = out.shape[1], vectors.sparkSession.sparkContext.broadcast(cells)
+    sums = vectors.select("v").mapInArrow(_sums(sent, coarse), "c int, total array<double>, n bigint")
     for r in sums.groupBy("c").agg(F.array(*[F.sum(F.col("total")[k]) for k in range(d)]).alias("total"), F.sum("n").alias("n")).collect():
         out[r.c] = np.array(r.total) / r.n
+    sent.destroy()
     return out
 
 
 def train(vectors: DataFrame, count: int, steps: int = STEPS) -> Cells:
     """About `count` cells from vectors of least hash, after some Lloyd steps over all
-    vectors on either level. The driver holds one float a cell and dimension: 125 MB
-    for a billion vectors of 64."""
+    vectors on either level. The driver and each executor hold a 4-byte float a cell
+    and dimension: 250 MB for a billion vectors of 64."""
     rows = vectors.select(F.xxhash64("vec_id").alias("h"), "vec_id", "v").orderBy("h", "vec_id").limit(count).select("v").collect()
-    first = np.array([r.v for r in rows], np.float64)
+    first = np.array([r.v for r in rows], np.float32)
     coarse = first[: int(np.ceil(np.sqrt(len(first))))]
     for _ in range(steps if len(coarse) > 1 else 0):
-        coarse = _lloyd(vectors, lambda x, c=coarse: nearest(x, c), coarse)
+        coarse = _lloyd(vectors, Cells(coarse, coarse, np.arange(len(coarse) + 1)), True)
     of = nearest(first, coarse)
     fine = [first[of == k] if (of == k).any() else coarse[k : k + 1] for k in range(len(coarse))]
     cells = Cells(coarse, np.concatenate(fine), np.concatenate(([0], np.cumsum([len(f) for f in fine]))))
     for _ in range(steps):
-        cells = Cells(coarse, _lloyd(vectors, cells.of, cells.fine), cells.starts)
+        cells = Cells(coarse, _lloyd(vectors, cells, False), cells.starts)
     return cells
 
 
-def _assign(cells: Cells):
+def _assign(sent: Broadcast):
     """Each vector's cell, its distance from that centroid and its code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = sent.value
         turn = rotation(cells.fine.shape[1])
         for b in batches:
             x = _vectors(b, "v")
@@ -290,9 +297,10 @@ def _cell(path: str, c: int, d: int) -> Iterator[Cell]:
             _remembered.popitem(last=False)
 
 
-def _searcher(path: str, cells: Cells, least: np.ndarray, most: np.ndarray, k: int):
+def _searcher(path: str, sent: Broadcast, edges: Broadcast, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_heap()
+        cells, (least, most) = sent.value, edges.value
         d = cells.fine.shape[1]
         turn = rotation(d)
         # how far from a coarse centroid its cells' members are at most
@@ -336,6 +344,7 @@ def _searcher(path: str, cells: Cells, least: np.ndarray, most: np.ndarray, k: i
 
 
 def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    centres = centres.astype(np.float64)
     return np.sqrt(np.maximum(0, (x**2).sum(axis=1)[:, None] - 2 * (x @ centres.T) + (centres**2).sum(axis=1)))
 
 
@@ -353,7 +362,9 @@ def neighbours(embeddings: DataFrame, k: int = K) -> DataFrame:
     d = max(dims, key=lambda x: (dims[x], x))
     own = own.where(F.size("v") == d)
     cells = train(own, -(-dims[d] // TARGET))
-    base = own.mapInArrow(_assign(cells), "c int, vec_id bigint, v array<float>, bits binary, norm double, own double")
+    sc = spark.sparkContext
+    sent = sc.broadcast(cells)
+    base = own.mapInArrow(_assign(sent), "c int, vec_id bigint, v array<float>, bits binary, norm double, own double")
     path = scratch_path(spark, "cells")
     base.repartition("c").sortWithinPartitions("c", "vec_id").write.option("compression", "zstd").partitionBy("c").parquet(path)
     base = spark.read.schema("vec_id bigint, v array<float>, norm double, c int").parquet(path)
@@ -361,4 +372,4 @@ def neighbours(embeddings: DataFrame, k: int = K) -> DataFrame:
     for r in base.groupBy("c").agg(F.min("norm").alias("least"), F.max("norm").alias("most")).collect():
         least[r.c], most[r.c] = r.least, r.most
     asks = base.select("c", "vec_id", "v").repartitionByRange(-(-dims[d] // PER_TASK), "c", "vec_id").sortWithinPartitions("c", "vec_id")
-    return asks.mapInArrow(_searcher(path, cells, least, most, k), out)
+    return asks.mapInArrow(_searcher(path, sent, sc.broadcast((least, most)), k), out)
