@@ -8,17 +8,25 @@ piece is compressed with either dictionary, and over the whole text
     d = (bytes with bad - bytes with good) / (bytes with bad + bytes with good + SMOOTH)
 
 is the normalised compressed-size difference (SMOOTH keeps a few bytes of
-difference in a text of a few words from deciding anything). A logistic curve fitted on
-labelled texts that no dictionary has seen turns d into the probability that
-the text is good, at the labels' own rate of good texts. A text is kept from
-KEEP_FROM on, well below even odds: what is lost to a filter can't be had back.
+difference in a text of a few words from deciding anything). A text that repeats
+itself compresses to nothing with either dictionary, so d says little of it; what it
+lacks in compressed size tells, its repetition
+
+    r = max(0, low - ln(bytes with good / bytes)),
+
+where low is the same logarithm that all but QUANTILE of labelled good texts exceed.
+A logistic curve over d and r, fitted on labelled texts that no dictionary has seen,
+gives the probability that the text is good, at the labels' own rate of good
+texts. A text is kept from KEEP_FROM on, well below even odds: what is lost to a
+filter can't be had back.
 
 The fit takes at most MAX_LABELLED texts of each label, those of the least
 hash of doc_id, none over MAX_TRAIN_CHARS characters; this bound holds for the
 fit alone, every document is scored, and scored whole.
 
 Results for special cases:
-* null, empty or blank text: d = 0, score null, kept = false (nothing to train on);
+* null, empty or blank text: d = r = 0, score null, kept = false (nothing to train on);
+* ties: a score of exactly KEEP_FROM is kept; very long texts: scored whole, by pieces;
 * labels: null and contradictory ones are left out, repeated ones count once;
 * a label with fewer than MIN_LABELLED texts: there is no model, each text that
   isn't blank has score null and is kept;
@@ -40,7 +48,7 @@ from grainmill.llm._common import broadcast_ids
 
 MAX_LABELLED, MAX_TRAIN_CHARS, MIN_LABELLED = 1500, 20_000, 20
 PIECE, DICTIONARY, LEVEL = 2048, 32_768, 3
-SMOOTH, KEEP_FROM = 120, 0.25
+SMOOTH, KEEP_FROM, QUANTILE = 120, 0.25, 0.01
 
 
 @dataclass(frozen=True)
@@ -49,9 +57,12 @@ class Model:
     bad: bytes
     slope: float
     intercept: float
+    #: what r weighs, and the logarithm that it begins from
+    per_repetition: float = 0.0
+    low: float = -math.inf
 
-    def score(self, d: float) -> float:
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * d + self.intercept))))
+    def score(self, d: float, r: float = 0.0) -> float:
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * d + self.per_repetition * r + self.intercept))))
 
 
 def _compressor(dictionary: bytes):
@@ -77,35 +88,55 @@ def _pieces(text: str) -> list[bytes]:
     return [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
 
 
-def difference(model: Model) -> Callable[[str], float]:
-    """d of a text under the model's dictionaries."""
+def sizes(model: Model) -> Callable[[str], tuple[int, int, int]]:
+    """Bytes of a text with either dictionary, good first, and without."""
     good, bad = _compressor(model.good).compress, _compressor(model.bad).compress
 
-    def d(text: str) -> float:
-        g = b = 0
+    def of(text: str) -> tuple[int, int, int]:
+        g = b = n = 0
         for x in _pieces(text):
             g += len(good(x))
             b += len(bad(x))
-        return (b - g) / (b + g + SMOOTH)
+            n += len(x)
+        return g, b, n
+
+    return of
+
 
-    return d
+def difference(model: Model) -> Callable[[str], tuple[float, float]]:
+    """d and r of a text under the model's dictionaries."""
+    of = sizes(model)
 
+    def both(text: str) -> tuple[float, float]:
+        g, b, n = of(text)
+        return (b - g) / (b + g + SMOOTH), max(0.0, model.low - math.log(g / n)) if g else 0.0
 
-def _logistic(x: list[float], y: list[int], weight: list[float]) -> tuple[float, float]:
-    """Slope and intercept of greatest likelihood with a small ridge, by Newton steps."""
+    return both
+
+
+def _logistic(x: list[tuple[float, ...]], y: list[int], weight: list[float]) -> list[float]:
+    """Weights of the columns of x, and the intercept, of greatest likelihood with a small ridge, by Newton steps."""
     import numpy as np
 
-    a = np.column_stack((np.array(x) * 100, np.ones(len(x))))
-    t, w, beta = np.array(y, float), np.array(weight, float), np.zeros(2)
-    for _ in range(50):
+    scale = np.array([100.0, 1.0])
+    a = np.column_stack((np.array(x) * scale, np.ones(len(x))))
+    t, w, beta = np.array(y, float), np.array(weight, float), np.zeros(3)
+
+    def loss(b: np.ndarray) -> float:
+        z = a @ b
+        return float((w * (np.logaddexp(0, z) - t * z)).sum() + 5e-4 * b @ b)
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
         g = a.T @ (w * (t - p)) - 1e-3 * beta
-        h = (a * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ a + 1e-3 * np.eye(2)
+        h = (a * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ a + 1e-3 * np.eye(3)
         step = np.linalg.solve(h, g)
+        while loss(beta + step) > loss(beta) and abs(step).max() > 1e-9:
+            step /= 2
         beta = beta + step
         if abs(step).max() < 1e-8:
             break
-    return float(beta[0] * 100), float(beta[1])
+    return [*(beta[:2] * scale).tolist(), float(beta[2])]
 
 
 def fit(good: list[str], bad: list[str], good_rate: float) -> Model | None:
@@ -114,10 +145,14 @@ def fit(good: list[str], bad: list[str], good_rate: float) -> Model | None:
         return None
     train, held = [[t for k, t in enumerate(x) if k % 3] for x in (good, bad)], [x[::3] for x in (good, bad)]
     dictionaries = [_dictionary([p for t in x for p in _pieces(t)]) for x in train]
-    d = difference(Model(*dictionaries, 0, 0))
+    of = sizes(Model(*dictionaries, 0, 0))
+    logs = sorted(math.log(g / n) for g, _, n in map(of, held[0]) if g)
+    low = logs[int(QUANTILE * len(logs))]
+    d = difference(Model(*dictionaries, 0, 0, 0, low))
     x, y = [d(t) for part in held for t in part], [1] * len(held[0]) + [0] * len(held[1])
     weight = [good_rate / len(held[0])] * len(held[0]) + [(1 - good_rate) / len(held[1])] * len(held[1])
-    return Model(*dictionaries, *_logistic(x, y, [w * len(x) for w in weight]))
+    slope, per_repetition, intercept = _logistic(x, y, [w * len(x) for w in weight])
+    return Model(*dictionaries, slope, intercept, min(0.0, per_repetition), low)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -138,17 +173,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     return fit(*texts, rate) if rows else None
 
 
-def judge(model: Model | None) -> Callable[[list[str | None]], list[tuple[float, float | None, bool]]]:
-    """(d, score, kept) for each of some texts."""
-    d = difference(model) if model else lambda _: 0.0
+def judge(model: Model | None) -> Callable[[list[str | None]], list[tuple[float, float, float | None, bool]]]:
+    """(d, r, score, kept) for each of some texts."""
+    both = difference(model) if model else None
 
-    def of(text: str | None) -> tuple[float, float | None, bool]:
+    def of(text: str | None) -> tuple[float, float, float | None, bool]:
         if text is None or not text.strip():
-            return 0.0, None, False
+            return 0.0, 0.0, None, False
         if model is None:
-            return 0.0, None, True
-        x = d(text)
-        return x, (s := model.score(x)), s >= KEEP_FROM
+            return 0.0, 0.0, None, True
+        d, r = both(text)
+        return d, r, (s := model.score(d, r)), s >= KEEP_FROM
 
     return lambda texts: [of(t) for t in texts]
 
@@ -157,18 +192,20 @@ def _scorer(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         j = judge(model)
         for batch in batches:
-            d, s, k = zip(*j(batch.column(1).to_pylist())) if batch.num_rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d, pa.float64()), pa.array(s, pa.float64()), pa.array(k, pa.bool_())], names=["doc_id", "size_difference", "score", "kept"])
+            d, r, s, k = zip(*j(batch.column(1).to_pylist())) if batch.num_rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(d, pa.float64()), pa.array(r, pa.float64()), pa.array(s, pa.float64()), pa.array(k, pa.bool_())], names=["doc_id", "size_difference", "repetition", "score", "kept"]
+            )
 
     return run
 
 
 def scores(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, size_difference, score, kept) for every row of docs."""
+    """(doc_id, size_difference, repetition, score, kept) for every row of docs."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return docs.mapInArrow(_scorer(model), "doc_id bigint, size_difference double, score double, kept boolean")
+    return docs.mapInArrow(_scorer(model), "doc_id bigint, size_difference double, repetition double, score double, kept boolean")
 
 
 def keeper(model: Model | None):
     """For _common.keep_rows: which texts stay."""
-    return lambda: (lambda j: lambda texts: [x[2] for x in j(texts)])(judge(model))
+    return lambda: (lambda j: lambda texts: [x[3] for x in j(texts)])(judge(model))
