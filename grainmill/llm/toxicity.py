@@ -206,11 +206,15 @@ def stems_of(toxic_texts: list[str], others: list[str]) -> dict[str, float]:
             total += len(own)
         return words, within, total
 
-    apart: list[tuple[str, set[str]]] = []
+    apart: list[tuple[str, int]] = []
+    holds: dict[str, list[int]] = {}
     for t in toxic_texts:  # near copies are evidence once
         own = {w for w in _TOKEN.findall(t.lower()) if len(w) > 5}
-        if not any(2 * len(own & x) > min(len(own), len(x)) for _, x in apart):
-            apart.append((t, own))
+        shared = Counter(k for w in own for k in holds.get(w, ()))
+        if not any(2 * n > min(len(own), apart[k][1]) for k, n in shared.items()):
+            for w in own:
+                holds.setdefault(w, []).append(len(apart))
+            apart.append((t, len(own)))
     toxic_texts = [t for t, _ in apart]
     (hot, within, n), (cold, _, m) = count(toxic_texts), count(others)
     if not m:
