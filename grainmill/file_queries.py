@@ -381,6 +381,33 @@ def markdown_chunks(spark, d):
     return docs.select("doc_id", F.posexplode(heading_chunks(F.concat(F.lit("# one\n"), F.col("text")))).alias("pos", "chunk"))
 
 
+_WORDS = r"len(regexp_extract_all(text, '[一-鿿]|[^\s一-鿿]+'))"
+
+
+@query(
+    f"SELECT substr(sha256(CAST(doc_id AS VARCHAR) || '|0|' || md5(text)), 1, 32) AS id, text, CAST({_WORDS} AS INTEGER) AS text_length, "
+    f"CASE WHEN trim(text) = '' OR len(regexp_extract_all(text, '[一-鿿]')) / greatest(len(regexp_extract_all(text, '\\p{{L}}')), 1) > 0.3 THEN 'CN' ELSE 'EN' END AS language, CAST(doc_id AS VARCHAR) AS file_path "
+    f"FROM (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN repeat('中文字', 30) ELSE text END AS text FROM documents) WHERE {_WORDS} BETWEEN 50 AND 400"
+)
+def short_token_chunks(spark, d):
+    """Texts that are one chunk: ids, counts and language labels."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_path"), F.when(F.col("doc_id") % 6 == 0, F.repeat(F.lit("中文字"), F.lit(30))).otherwise(F.col("text")).alias("text"))
+    docs = docs.where(T.approximate_tokens(F.col("text")) <= 400)
+    return cleaning.chunks(docs, least=50, most=400)
+
+
+@query("SELECT conv_id, CASE WHEN u < 2 THEN n + 1 ELSE n END AS n, CASE WHEN u < 2 THEN 'and then?' ELSE last END AS last FROM (SELECT conv_id, CAST(count(*) AS INTEGER) AS n, count(*) FILTER (role = 'user') AS u, arg_max(text, (turn, role, text)) AS last FROM conversations GROUP BY 1)")
+def added_questions(spark, d):
+    own = conversations.gather(table(spark, d, "conversations")).select("conv_id", conversations.add_question(F.col("messages"), "and then?", most=2).alias("m"))
+    return own.select("conv_id", F.size("m").alias("n"), F.get("m", F.size("m") - 1).content.alias("last"))
+
+
+@query("SELECT * FROM (VALUES ('p', CAST(NULL AS VARCHAR)), ('q', 'concurrency must be a positive integer'), ('r', 'unknown model_type'), ('s', 'missing: api_key')) t(path, why)")
+def model_configurations(spark, d):
+    text = json.dumps({"models": [dict(api_path=p, model_name="m", api_key=k, **more) for p, k, more in (("p", "k", {}), ("q", "k", {"concurrency": 0}), ("r", "k", {"model_type": "x"}), ("s", "", {}))]})
+    return spark.createDataFrame([(m["api_path"], readers.invalid_model(m)) for m in readers.models(text)], "path string, why string")
+
+
 # --- drawing and fitting ----------------------------------------------------------------------------------------------
 
 

@@ -173,27 +173,28 @@ def ipf_sweep_1(spark, d):
     return _rounded(mixing.sweep(mixing.cells(meta(spark, d), ["language", "category"]), TARGETS, TOTAL, PRIORITY), "weight")
 
 
-def _fit(variant: str) -> Query:
+def _fit(variant: str, dims: tuple[str, ...] = PRIORITY) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        f = mixing.fit(meta(spark, d), TARGETS, TOTAL, PRIORITY, variant)
-        return spark.createDataFrame([(c["language"], c["category"], int(c["tokens"]), int(c["n"]), round(float(w), 9), f.ok) for c, w in zip(f.cells, f.weights)], "language string, category string, tokens bigint, n bigint, weight double, ok boolean")
+        f = mixing.fit(meta(spark, d), {k: TARGETS[k] for k in dims}, TOTAL, dims, variant)
+        return spark.createDataFrame([(*[c[k] for k in dims], int(c["tokens"]), int(c["n"]), round(float(w), 9), f.ok) for c, w in zip(f.cells, f.weights)], ", ".join(f"{k} string" for k in dims) + ", tokens bigint, n bigint, weight double, ok boolean")
 
     return run
 
 
-def _ipf_sql(variant: str, sweeps: int = 8) -> str:
+def _ipf_sql(variant: str, dims: tuple[str, ...] = PRIORITY, sweeps: int = 8) -> str:
     """CTEs that unroll some sweeps of mixing.solve(); the last, ipf, has the weights. A
     sweep behind the stop changes nothing, so it may be any number that reaches the stop."""
     plain, stale, together = variant == "plain", variant == "priority", variant in ("accumulated", "chunked")
     tol, still = (0.01 if plain or variant == "chunked" else 0.005), (1e-4 if plain else 1e-5)
-    keep = "language, category, tokens, n, before, whole, done, met_category, met_language, last_category, last_language"
+    cell, mets, lasts = ", ".join(dims), ", ".join(f"met_{x}" for x in dims), ", ".join(f"last_{x}" for x in dims)
+    keep = f"{cell}, tokens, n, before, whole, done, {mets}, {lasts}"
     init = f"{TOTAL} / sum(tokens) OVER ()" if stale else "CAST(1 AS DOUBLE)"
-    ctes = ["c0 AS MATERIALIZED (SELECT language, category, CAST(sum(token_count) AS BIGINT) AS tokens, count(*) AS n FROM m WHERE language IS NOT NULL AND category IS NOT NULL GROUP BY 1, 2)"]
-    ctes.append(f"x0 AS MATERIALIZED (SELECT *, {init} AS w, false AS done, false AS met_category, false AS met_language, CAST(0 AS DOUBLE) AS last_category, CAST(0 AS DOUBLE) AS last_language FROM c0)")
+    ctes = [f"c0 AS MATERIALIZED (SELECT {cell}, CAST(sum(token_count) AS BIGINT) AS tokens, count(*) AS n FROM m WHERE {' AND '.join(f'{x} IS NOT NULL' for x in dims)} GROUP BY ALL)"]
+    ctes.append(f"x0 AS MATERIALIZED (SELECT *, {init} AS w, false AS done, {', '.join(f'false AS met_{x}, CAST(0 AS DOUBLE) AS last_{x}' for x in dims)} FROM c0)")
     for k in range(1, sweeps + 1):
         last = f"b{k}"
         ctes.append(f"{last} AS MATERIALIZED (SELECT * EXCLUDE (w), w, w AS before, sum(w * tokens) OVER () AS whole, CAST(0 AS DOUBLE) AS worst FROM x{k - 1})")
-        for dim in PRIORITY:
+        for dim in dims:
             for j, (v, x) in enumerate(TARGETS[dim].items()):
                 now, base = f"u{k}_{dim}_{j}", "whole" if stale else "sum(w * tokens) OVER ()"
                 limits = f"{x} / share" if plain else f"least(greatest({x} / share, 0.7), 1.4) * least(greatest({TOTAL} / whole, 0.8), 1.2)" if stale else f"least(greatest({x} / (share + {1e-8 if together else 0}), 0.5), 2.0)"
@@ -205,13 +206,13 @@ def _ipf_sql(variant: str, sweeps: int = 8) -> str:
             worst = f"CASE WHEN met_{dim} THEN 0 ELSE worst END" if variant == "frozen" else "worst"
             ctes.append(f"{out} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN done THEN last_{dim} ELSE {worst} END AS last_{dim}, met_{dim} OR (NOT done AND worst < {tol}) AS met_{dim}) FROM {last})")
             last = out
-        close = "met_category AND met_language" if together else f"last_category < {tol} AND last_language < {tol}"
+        close = " AND ".join(f"met_{x}" if together else f"last_{x} < {tol}" for x in dims)
         stop = "" if variant == "chunked" else f" OR sum(n * abs(w - before) / (before + 1e-5)) OVER () / sum(n) OVER () < {still}"
-        ctes.append(f"x{k} AS MATERIALIZED (SELECT language, category, tokens, n, w, done OR ({close}){stop} AS done, met_category, met_language, last_category, last_language FROM {last})")
-    ctes.append(f"scaled AS MATERIALIZED (SELECT language, category, tokens, n, last_category, last_language, w * {TOTAL} / sum(w * tokens) OVER () AS weight FROM x{sweeps})")
-    errors = ", ".join(f"abs(sum(weight * tokens) FILTER ({dim} = '{v}') / sum(weight * tokens) - {x})" for dim, own in TARGETS.items() for v, x in own.items())
-    ok = f"last_category < {tol} AND last_language < {tol}" if plain else f"(SELECT greatest({errors}) FROM scaled) <= {tol}"
-    ctes.append(f"ipf AS MATERIALIZED (SELECT language, category, tokens, n, weight, {ok} AS ok FROM scaled)")
+        ctes.append(f"x{k} AS MATERIALIZED (SELECT {cell}, tokens, n, w, done OR ({close}){stop} AS done, {mets}, {lasts} FROM {last})")
+    ctes.append(f"scaled AS MATERIALIZED (SELECT {cell}, tokens, n, {lasts}, w * {TOTAL} / sum(w * tokens) OVER () AS weight FROM x{sweeps})")
+    errors = ", ".join(f"abs(sum(weight * tokens) FILTER ({dim} = '{v}') / sum(weight * tokens) - {x})" for dim in dims for v, x in TARGETS[dim].items())
+    ok = " AND ".join(f"last_{x} < {tol}" for x in dims) if plain else f"(SELECT greatest({errors}) FROM scaled) <= {tol}"
+    ctes.append(f"ipf AS MATERIALIZED (SELECT {cell}, tokens, n, weight, {ok} AS ok FROM scaled)")
     return ", " + ", ".join(ctes)
 
 
@@ -219,6 +220,9 @@ for _v in ("plain", "frozen", "accumulated", "chunked", "priority"):
     query(_META + _ipf_sql(_v) + " SELECT language, category, tokens, n, round(weight, 9) AS weight, ok FROM ipf", f"ipf_{_v}")(_fit(_v))
 
 
+query(_META + _ipf_sql("priority", ("language",)) + " SELECT language, tokens, n, round(weight, 9) AS weight, ok FROM ipf", "ipf_one_dimension")(_fit("priority", ("language",)))
+
+
 def uniform_sql(key: str, seed: int = 0) -> str:
     """functions.text.uniform in SQL."""
     return f"(CAST(('0x' || substr(md5(CAST({key} AS VARCHAR) || '|{seed}'), 1, 13)) AS BIGINT) / 4503599627370496.0)"
