@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -49,11 +50,33 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+_temporary: list[list[str]] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the scratch folder, if it is still there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialised within are deleted at the end, but for those with keep=True."""
+    _temporary.append([])
+    try:
+        yield
+    finally:
+        for path in _temporary.pop():
+            remove(spark, path)
+
+
+def materialise(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends in
     files that outlive any executor, and nothing upstream runs twice."""
     path = scratch_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
+    if _temporary and not keep:
+        _temporary[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -84,6 +84,23 @@ def test_groups_equal_brute_force(spark):
     assert got == brute(docs)
 
 
+def test_hot_bands_give_the_same(spark, monkeypatch):
+    """Documents that share most of their words with all others: many in a band, few alike."""
+    rng = random.Random(4)
+    common = words(rng, 60)
+    docs = []
+    for k in range(300):
+        own = words(rng, 40, 10**6)
+        docs += [(4 * k + j, " ".join(common + edited(rng, own, 0.05 * j))) for j in range(2)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = brute(docs)
+    monkeypatch.setattr(N, "HOT", 4)
+    monkeypatch.setattr(N, "TILE", 50)
+    got = {tuple(r) for r in N.near_duplicates(df).collect()}
+    assert len(want) > 200 and len(got ^ want) <= 0.02 * len(want)
+    assert (N.agreement(0.55), N.agreement(0.01)) == (38, 1)
+
+
 def test_special_cases(spark):
     long = " ".join(f"z{k}" for k in range(60_000))
     rows = [(1, None, 0), (2, "", 0), (3, "  \n ", 0), (4, "one", 0), (5, "one", 0), (6, "ONE\n", 0), (None, "one", 0), (7, long, 0), (8, long + " end", 0), (9, "solo text here", 0), (9, "solo text here", 0), (10, "", 1)]
@@ -99,6 +116,18 @@ def test_components(spark):
     assert got == {(k, 0) for k in range(1, 41)} | {(101, 100), (102, 100)}
 
 
+def test_only_the_result_stays_written(spark):
+    from pathlib import Path
+
+    from grainmill.llm._common import scratch_root
+
+    root = Path(scratch_root(spark).removeprefix("file://"))
+    before = set(root.glob("*"))
+    got = N.near_duplicates(spark.createDataFrame([(k, "one two three four") for k in range(5)], "doc_id bigint, text string"))
+    assert [p.name.split("-")[0] for p in set(root.glob("*")) - before] == ["duplicates"]
+    assert {tuple(r) for r in got.collect()} == {(k, 0) for k in range(1, 5)}
+
+
 def test_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {tuple(r) for r in N.near_duplicates(docs).collect()}

@@ -20,7 +20,7 @@ def test_stages(spark):
         assert out.columns == docs.columns
         got = sorted(map(tuple, out.collect()))
         if name == "quality":
-            keep = [k for _, _, k in judge([r[at] for r in rows])]
+            keep = [k for *_, k in judge([r[at] for r in rows])]
         elif name == "toxicity":
             keep = [toxicity.judge(r[at])[0] < 1 for r in rows]
         elif name == "near_dedup":
@@ -57,3 +57,44 @@ def test_odd_rows_pass_through(spark):
         docs = out
     assert [r.doc_id for r in docs.collect()].count(3) in (0, 2)
     assert near_dedup is not None
+
+
+def test_without_labels_and_benchmark(spark, tmp_path):
+    """Empty side tables: texts pass, but for blank and openly toxic ones."""
+    text = "and the thing of it was then there with this and that for the other one at last "
+    docs = spark.createDataFrame([(1, text * 2), (2, " "), (3, "you idiot. I will kill you."), (4, text * 2), (5, text * 4000)], "doc_id bigint, text string").selectExpr("*", "'en' as lang")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert {r.doc_id for r in P.run(spark, str(tmp_path)).collect()} == {1, 5}
+
+
+def test_by_key_gives_the_same_by_shuffle(spark, monkeypatch):
+    from grainmill.llm import _common
+
+    df = spark.createDataFrame([(k % 7 if k % 5 else None, k) for k in range(40)], "doc_id bigint, n int")
+    keys = spark.createDataFrame([(1,), (3,), (9,)], "doc_id bigint")
+    for how in ("left_semi", "left_anti"):
+        small = sorted(map(str, _common.by_key(df, keys, "doc_id", how).collect()))
+        monkeypatch.setattr(_common, "BROADCAST_KEYS", -1)
+        assert sorted(map(str, _common.by_key(df, keys, "doc_id", how).collect())) == small
+        monkeypatch.undo()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import pytest
+
+    from grainmill.llm import _common
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        _common.scratch_root(Session())
