@@ -6,9 +6,19 @@
 4. decontamination: documents that leak a benchmark item go;
 5. best-fit packing: where each piece of each document goes.
 
-All stages but the last return the columns of documents. A null doc_id can't be
-named by the near-duplicate stage, which keeps such rows; all rows of a doc_id
-stay or go together there. For other special cases see the operators.
+All stages but the last return the columns of documents, whatever further columns
+there are. Results for special cases:
+* null, empty or blank text: goes in stage 1 (nothing to train on); a later stage
+  that gets one keeps it, and packing gives it the length of its end mark;
+* null doc_id: can't be named by the near-duplicate stage, which keeps such rows;
+  all rows of a doc_id stay or go together there; other stages judge each row;
+* ties: a quality score of exactly KEEP_FROM stays, a toxicity score of exactly 1
+  goes, a similarity of exactly THRESHOLD makes a duplicate, of which the least
+  doc_id stays;
+* very long texts: judged whole by every stage;
+* no labels: stage 1 lets every text pass that isn't blank, stage 2 judges by its
+  word lists alone; no benchmark: stage 4 lets all pass;
+* an empty table: every stage returns an empty one.
 """
 
 from __future__ import annotations
@@ -29,8 +39,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = materialise(near_dedup.near_duplicates(docs).select("doc_id").distinct(), "gone")
-    return by_key(docs, gone, "doc_id", "left_anti")
+    return by_key(docs, near_dedup.near_duplicates(docs).select("doc_id"), "doc_id", "left_anti")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +65,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialise(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
