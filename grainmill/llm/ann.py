@@ -28,7 +28,7 @@ that holds a neighbour is skipped. Nothing is shuffled but the vectors themselve
 once to write the cells and once to order the queries. On separated data a query
 visits few cells and the work grows like the table; vectors without structure, in
 many dimensions, have no cells to skip and the work grows with its square, at about
-6 ns a pair. Nothing is capped.
+24 ns a pair. Nothing is capped.
 
 Results for special cases:
 * null vectors, vectors with a null, NaN or infinite entry and vectors of
