@@ -37,7 +37,7 @@ Results for special cases:
 * null, empty or blank text: score 0, not toxic;
 * null doc_id and repeated rows: judged like any other row;
 * no labels, or fewer than LEAST toxic texts with a stem: no stem is learned;
-* a doc_id labelled both ways: not learned from; null lang: a language;
+* a doc_id labelled both ways: not learned from; null lang, or no such column: a language;
 * ties: a score of exactly 1 is toxic;
 * very long texts: judged whole; an empty table gives an empty result;
 * positions are those in the lower-case text;
@@ -243,7 +243,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Stems:
         .agg(F.min("y").alias("y"), F.max("y").alias("most"))
         .where("y = most")
     )
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text").where(F.length("text").between(1, LEARN_CHARS))
+    lang = (F.col("lang") if "lang" in docs.columns else F.lit("")).cast("string").alias("lang")
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), lang, "text").where(F.length("text").between(1, LEARN_CHARS))
     by = Window.partitionBy("lang", "y").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = {r.doc_id: r.y for r in own.select("doc_id", "lang").join(y, "doc_id").withColumn("k", F.row_number().over(by)).where(F.col("k") <= LEARN_ROWS).select("doc_id", "y").collect()}
     texts: dict[str, tuple[list[str], list[str]]] = {}

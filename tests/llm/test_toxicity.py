@@ -174,3 +174,20 @@ def test_stems_of_all_languages(spark):
     clean = [r.doc_id in flagged for r in rows if not r.toxic]
     assert sum(clean) / len(clean) < 0.005
     assert X.learn(docs.drop("toxic", "quality"), labels.limit(0)) == ()
+
+
+def test_learning_from_odd_rows(spark):
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    text = lambda k: " ".join([word() for _ in range(30)] + ["zorgleth", "zorglein"] * (k % 2))
+    rows = [(k, text(k), None, "x") for k in range(120)] + [(None, "zorgleth", "en", "x"), (200, None, None, "x"), (201, "", "en", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, toxic string")
+    labels = spark.createDataFrame([(k, k % 2, 1) for k in range(120)] + [(None, 1, 1), (200, 1, 1), (201, None, 1), (7, 1, 0)], "doc_id bigint, toxic int, quality int")
+    stems = X.learn(docs, labels)
+    assert [s for s, _ in stems] == ["zorgle"] and stems == X.learn(docs.drop("lang"), labels)
+    both = labels.union(labels.selectExpr("doc_id", "1 - toxic", "quality"))
+    assert X.learn(docs, both) == () and X.learn(docs.limit(0), labels) == ()
+    assert 0.6 <= stems[0][1] < 1  # few labels: below full severity
+    assert X.judge("you Zorglein, zorgle", stems)[0] >= 1 > X.judge("you there", stems)[0]
