@@ -58,3 +58,17 @@ def test_texts_are_not_read_where_they_are_not_needed(spark, name, columns):
 def test_filters_reach_the_scan(spark):
     scans = plan(Q.QUERIES["corpus_summary"](spark, SF)).split("PushedFilters: ")[1:]
     assert any("EqualTo(lang,en)" in x.split("]")[0] for x in scans)
+
+
+def test_rounding_is_that_of_sql(spark, tmp_path):
+    """A text of 5,120 characters, 323 of them signs: the share is a tie in decimal, but not in binary."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"doc_id": pa.array([1, 2], pa.int64()), "text": ["." * 323 + "a" * 4797, "." * 9 + "a" * 1015]}), tmp_path / "documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    name = "stat_special_characters_filter"
+    want = dict(c.execute(Q.ORACLES[name]).fetchall())
+    assert {r.doc_id: r.out for r in Q.QUERIES[name](spark, str(tmp_path)).collect()} == want
+    assert Q.rounded_number(323 / 5120) == want[1] != round(323 / 5120 + 1e-12, 9)
