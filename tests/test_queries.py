@@ -72,3 +72,15 @@ def test_rounding_is_that_of_sql(spark, tmp_path):
     want = dict(c.execute(Q.ORACLES[name]).fetchall())
     assert {r.doc_id: r.out for r in Q.QUERIES[name](spark, str(tmp_path)).collect()} == want
     assert Q.rounded_number(323 / 5120) == want[1] != round(323 / 5120 + 1e-12, 9)
+
+
+def test_guarded_transform_upper_case_is_that_of_sql(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    texts = ["ß859", "ŉx", "ᾳ", "ﬁ", "é", "", "z"]
+    pq.write_table(pa.table({"doc_id": pa.array([1 + 3 * k for k in range(len(texts))], pa.int64()), "text": texts}), tmp_path / "documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = sorted(c.execute(Q.ORACLES["guarded_transform"]).fetchall())
+    assert sorted(map(tuple, Q.QUERIES["guarded_transform"](spark, str(tmp_path)).collect())) == want
