@@ -64,7 +64,8 @@ CUSTOM = ("query_source", "answer_source", "file_path", "source_chunk")
 
 def merge_labelling(items: DataFrame, order: str, messages: str = "messages", key: Column | None = None, prompt: str = "") -> DataFrame:
     """(query, prompt, conversation, custom): labelling records of equal first user
-    query (or key) as one, by one shuffle on the query.
+    query (or key) as one. Contents are compared by grouping, so the time grows with
+    the turns, however many records a query has; a record is one row in the end.
 
     Assistants' think blocks become headed sections before contents are compared. The
     record of least `order` gives the custom fields and all its turns that aren't
@@ -82,19 +83,21 @@ def merge_labelling(items: DataFrame, order: str, messages: str = "messages", ke
             F.coalesce(F.when(m.role == "user", F.col("query_source")).otherwise(F.col("answer_source")), F.lit("")).alias("user_id"),
         ),
     )
-    rows = rows.select("__q", F.struct(F.col(order).alias("o"), F.filter(turns, lambda t: F.coalesce(t.content, F.lit("")) != "").alias("turns"), F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in CUSTOM]).alias("custom")).alias("r"))
-    merged = rows.groupBy(F.col("__q").alias("query")).agg(F.array_sort(F.collect_list("r")).alias("all"))
-    lead = F.get("all", F.lit(0))
-    merged = merged.select("query", lead.custom.alias("custom"), lead.turns.alias("head"), F.flatten(F.transform(F.slice("all", 2, F.size("all")), lambda r: r.turns)).alias("rest"))
-    # later turns: the first of each content that the leading record lacks
-    seen = F.transform("head", lambda t: t.content)
-    fresh = F.filter("rest", lambda t: ~F.array_contains(seen, t.content))
-    names = F.transform("fresh", lambda t: t.content)
-    fresh_once = F.filter("fresh", lambda t, i: F.array_position(names, t.content) == i + 1)
-    all_turns = merged.withColumn("fresh", fresh).withColumn("turns", F.concat("head", fresh_once))
+    custom = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in CUSTOM])
+    rows = rows.select(F.col("__q").alias("query"), F.struct(F.col(order).alias("o"), F.filter(turns, lambda t: F.coalesce(t.content, F.lit("")) != "").alias("turns"), custom.alias("custom")).alias("r"))
+    # a turn is a row until the end: of contents that many records share, one comes through the shuffle
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy("r")))
+    lead, turn = rows.where("at = 1"), F.posexplode("r.turns").alias("k", "t")
+    flat = rows.select("query", "at", turn)
+    first = flat.groupBy("query", "t.content").agg(F.min(F.struct("at", "k", "t.message_type", "t.user_id")).alias("x"))
+    # the first of a content is kept, and of the leading record all
+    later = first.where("x.at > 1").select("query", "x.at", "x.k", F.struct("content", "x.message_type", "x.user_id").alias("t"), F.lit(None).cast(lead.schema["r"].dataType["custom"].dataType).alias("custom"))
+    head = lead.select("query", "at", F.posexplode_outer("r.turns").alias("k", "t"), "r.custom")
+    kept = F.array_sort(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("at", "k", "t"))))
+    merged = head.unionByName(later).groupBy("query").agg(F.max("custom").alias("custom"), F.transform(kept, lambda x: x.t).alias("turns"))
     ident = lambda i: F.substring(F.sha2(F.concat_ws("|", F.col("query"), i.cast("string")), 256), 1, 32)
     chain = F.transform("turns", lambda t, i: F.struct(ident(i).alias("message_id"), t.content.alias("content"), t.message_type.alias("message_type"), t.user_id.alias("user_id"), F.when(i > 0, ident(i - 1)).alias("parent_id")))
-    return all_turns.select("query", F.lit(prompt).alias("prompt"), chain.alias("conversation"), "custom")
+    return merged.select("query", F.lit(prompt).alias("prompt"), chain.alias("conversation"), "custom")
 
 
 def first_query(messages: Column) -> Column:

@@ -103,3 +103,26 @@ def test_simhash_pairs_equal_all_pairs(spark):
     reps = sorted(least.values())
     want = {(a, b) for k, b in enumerate(reps) for a in reps[:k] if (h[a] ^ h[b]).bit_count() <= 4} | {(least[h[i]], i) for i in h if least[h[i]] != i}
     assert {tuple(r) for r in simhash.pairs(docs).collect()} == want
+
+
+def test_merge_labelling_of_many_records_with_one_query(spark):
+    """20,000 different contents of one query, copies among them: by comparing arrays this took minutes."""
+    import time
+
+    texts = [[("user", "q"), ("assistant", f"a{k % 15_000}"), ("assistant", f"b{k}")] for k in range(20_000)]
+    rows = spark.createDataFrame([(k, [dict(role=r, content=c) for r, c in t]) for k, t in enumerate(texts)], "id int, messages array<struct<role: string, content: string>>")
+    began = time.time()
+    (r,) = C.merge_labelling(rows.withColumns({"query_source": F.lit("qs"), "answer_source": F.lit("as")}), "id").collect()
+    took = time.time() - began
+    want = list(dict.fromkeys(c for t in texts for _, c in t))
+    assert [m.content for m in r.conversation] == want and took < 60
+
+
+def test_merge_labelling_of_empty_turns(spark):
+    """A leading record without a text still gives the custom fields."""
+    rows = spark.createDataFrame([(1, "first", [("assistant", "")]), (2, "second", [("user", "x"), ("assistant", None)]), (3, "third", [("user", "x")])], "id int, file_path string, messages array<struct<role: string, content: string>>")
+    rows = rows.withColumns({"query_source": F.lit("qs"), "answer_source": F.lit(None).cast("string")})
+    (r,) = C.merge_labelling(rows, "id", key=F.lit("k")).collect()
+    assert r.custom.file_path == "first" and [m.content for m in r.conversation] == ["x"]
+    (r,) = C.merge_labelling(rows.where("id = 1"), "id", key=F.lit("k")).collect()
+    assert r.custom.file_path == "first" and r.conversation == []
