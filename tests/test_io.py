@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,3 +239,55 @@ def test_event_time_windows(spark, tmp_path):
     q = streaming.token_windows(s, "t", "k", "v", "1 minute", "10 minutes").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.k, r.total, r.n) for r in spark.table("w").collect()) == [("a", 3.0, 2), ("b", 4.0, 1)]
+
+
+def test_write_files_holds_no_file(spark, tmp_path):
+    """A worker's memory doesn't grow with the file it writes: 300 MB, of which lists and joined text took over a GB."""
+    from grainmill.file_queries import write_files
+
+    def most(batches):
+        import resource
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024] * b.num_rows, pa.int64())], names=["mb"])
+
+    look = lambda: max(r.mb for r in spark.range(0, 64, 1, 16).mapInArrow(most, "mb bigint").collect())
+    before = look()
+    write_files(spark.range(0, 300_000, 1, 8).select(F.lit("a.txt").alias("name"), F.repeat(F.lit("x"), F.lit(1000)).alias("value")), str(tmp_path / "w"))
+    assert (tmp_path / "w/a.txt").stat().st_size == 300_000 * 1001
+    assert look() < max(before, 150) + 150
+
+
+def test_each_corpus_file_is_a_task_of_its_own(spark, tmp_path):
+    """The largest task's share of the rows is that of one of 30 files."""
+    from grainmill import file_queries as Q
+
+    seen, write = [], S.write_named
+    try:
+        S.write_named = lambda rows, out, end="\n": seen.append(rows.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.count_distinct("name").alias("k")).collect()) or write(rows, out, end)
+        spark.range(3000).selectExpr("id AS doc_id", "'t' AS text", "'en' AS lang", "'s' AS source", "1L AS n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+        Q.corpus(spark, str(tmp_path))
+    finally:
+        S.write_named = write
+    assert max(r.n for r in seen[0]) == 100 and sum(r.n for r in seen[0]) == 3003 and len(seen[0]) == 31
+
+
+def test_overwritten_folders_are_whole(spark, tmp_path):
+    """Folders of shards and of conversations have one file each, nothing is left of an earlier save, and a failed one changes nothing."""
+    out = tmp_path / "s"
+    for n in (40, 10):
+        S.write_shards(spark.range(n).selectExpr("id", "repeat('é', 20) AS text"), str(out), 120, "id", exact=True)
+        assert sorted(str(p.relative_to(out)) for p in out.rglob("*") if p.is_file()) == sorted(f"shard={k}/part-00000.txt" for k in range(1, n // 2 + 1))
+    assert sorted(json.loads(x)["id"] for p in out.rglob("*.txt") for x in p.read_text().splitlines()) == list(range(10))
+    with pytest.raises(Exception, match="[Dd]ivision|DIVIDE"):
+        S.write_named(spark.range(9).select(F.lit("a").alias("name"), F.expr("cast(raise_error('division') as string)").alias("value")), str(out))
+    assert len(list(out.glob("shard=*"))) == 5 and [p.name for p in tmp_path.iterdir()] == ["s"]
+    S.write_shards(spark.range(4).selectExpr("id", "'a' AS text"), str(out), 120, "id", mode="append")
+    assert spark.read.text(str(out)).count() == 14
+    talk = spark.createDataFrame([(1, [("user", "q")]), (2, [])], "id bigint, messages array<struct<role: string, content: string>>")
+    for rows in (talk, talk.where("id = 1")):
+        S.write_markdown(rows, str(tmp_path / "m"))
+    assert [str(p.relative_to(tmp_path / "m")) for p in (tmp_path / "m").rglob("*") if p.is_file()] == ["item=1/part-00000.txt"]
+    assert (tmp_path / "m/item=1/part-00000.txt").read_text() == "## Question 1\n\nq\n"
+    S.write_markdown(talk.withColumn("id", F.lit("a/b")).limit(1), str(tmp_path / "m"))
+    assert [p.name for p in (tmp_path / "m").glob("item=*")] == ["item=a%2Fb"]
