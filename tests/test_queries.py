@@ -86,6 +86,18 @@ def test_guarded_transform_upper_case_is_that_of_sql(spark, tmp_path):
     assert sorted(map(tuple, Q.QUERIES["guarded_transform"](spark, str(tmp_path)).collect())) == want
 
 
+def test_cleaned_output_keeps_empty_texts(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"doc_id": pa.array([1, 2, 5, 6, 7], pa.int64()), "text": ["", "a b", "", "%&" * 20, None]}), tmp_path / "documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    for name in ("cleaned_output", "reject_log"):
+        df = Q.QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, df.collect())) == sorted(c.execute(f"SELECT {', '.join(df.columns)} FROM ({Q.ORACLES[name]})").fetchall())
+
+
 def test_chunks_are_judged_once(spark):
     """The optimiser put 84 regular expressions into the plan of the rejects, copies of nine."""
     from grainmill.operators import cleaning
