@@ -167,3 +167,11 @@ def test_wide_spans_and_long_sections():
     assert table.count("|") == 3 * 1002 + 1 or table.startswith("| a |")
     assert "".join(md.heading_sections("line\n" * 400_000)) == "line\n" * 400_000
     assert time.time() - at < 10
+
+
+def test_chunks_go_through_python_once(spark):
+    """Chunks and their counts come from one worker, where each had its own."""
+    docs = spark.createDataFrame([("f", "a b c\n\nd e f"), ("g", None), ("h", "")], "file_path string, text string")
+    got = cleaning.chunks(docs, least=1, most=4)
+    assert sorted((r.file_path, r.text.strip(), r.text_length) for r in got.collect()) == [("f", "a b c", 3), ("f", "d e f", 3)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
